@@ -1,6 +1,6 @@
 from . import registry
 
-_FAMILIES: tuple[str, ...] = ("reports",)
+_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames")
 
 
 def load() -> tuple[dict, dict]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import TRACKLETS
 from ..functions import labels as lb
 from ..operators import ordered
 
@@ -22,7 +23,7 @@ DETECTIONS = """
 SELECT concat('dev', CAST(l_orderkey % 4 AS STRING)) AS device_id,
        CAST(floor(l_orderkey / 4.0) AS BIGINT) AS frame_no,
        concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
-                 CAST(l_suppkey AS STRING), CAST(CAST(l_extendedprice * 100 AS BIGINT) AS STRING)) AS det_id,
+                 CAST(l_suppkey AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS det_id,
        CAST((l_partkey * 37 + l_linenumber * 11) % 1500 AS DOUBLE) AS x1,
        CAST((l_suppkey * 53) % 600 AS DOUBLE) AS y1,
        CAST((l_partkey * 37 + l_linenumber * 11) % 1500 + 40 + l_quantity * 4 AS DOUBLE) AS x2,
@@ -126,11 +127,15 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracklet_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations with the tracklet they belong to."""
-    cut = ordered.with_sessions(
-        observations(spark, sf_dir), ["entity_id", "device_id"], ["frame_no"], TRACKLET_GAP, "session"
-    )
-    return cut.withColumn("tracklet_id", F.concat_ws(":", "device_id", "track_id", "session"))
+    """Observations with the tracklet they belong to: runs of one track on one
+    device, cut at long gaps and after every ``max_entries`` rows."""
+    keys, axis = ["entity_id", "device_id"], "frame_no"
+    stepped = ordered.with_previous(observations(spark, sf_dir), keys, [axis], [axis])
+    starts = F.when(F.col(axis) - F.col(f"prev1.{axis}") <= TRACKLET_GAP, 0).otherwise(1)
+    cut = ordered.with_running(stepped, keys, [axis], sums={"session": starts, "position": F.lit(1)}).drop("prev1")
+    part = F.floor((F.col("position") - 1) / TRACKLETS.max_entries)
+    return cut.withColumn("part", part).drop("position").withColumn(
+        "tracklet_id", F.concat_ws(":", "device_id", "track_id", "session", "part"))
 
 
 def box_struct() -> F.Column:
@@ -138,7 +143,9 @@ def box_struct() -> F.Column:
 
 
 def tracklets(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
-    rows = tracklet_entries(spark, sf_dir).groupBy("tracklet_id", "track_id", "entity_id", "device_id", "session").agg(
+    rows = tracklet_entries(spark, sf_dir).groupBy(
+        "tracklet_id", "track_id", "entity_id", "device_id", "session"
+    ).agg(
         F.min("frame_no").alias("frame_start"), F.max("frame_no").alias("frame_end"),
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"),
         F.count(F.lit(1)).alias("entry_count"),
@@ -167,8 +174,9 @@ ENTRIES = OBS + f""", flagged AS (
   SELECT *, CASE WHEN frame_no - lag(frame_no) OVER w <= {TRACKLET_GAP} THEN 0 ELSE 1 END AS starts
   FROM obs WINDOW w AS (PARTITION BY entity_id, device_id ORDER BY frame_no)),
 entries AS (
-  SELECT *, concat_ws(':', device_id, track_id::VARCHAR, session::VARCHAR) AS tracklet_id FROM (
-    SELECT * EXCLUDE (starts), sum(starts) OVER (PARTITION BY entity_id, device_id ORDER BY frame_no) AS session
+  SELECT *, concat_ws(':', device_id, track_id::VARCHAR, session::VARCHAR, part::VARCHAR) AS tracklet_id FROM (
+    SELECT * EXCLUDE (starts), sum(starts) OVER (PARTITION BY entity_id, device_id ORDER BY frame_no) AS session,
+      (row_number() OVER (PARTITION BY entity_id, device_id ORDER BY frame_no) - 1) // {TRACKLETS.max_entries} AS part
     FROM flagged))"""
 _TRACKLETS = """ AS (
   SELECT *, CASE WHEN frame_start % 13 = 0 THEN 'occlusion_attached' ELSE 'matched' END AS state FROM (
