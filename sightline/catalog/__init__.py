@@ -1,6 +1,6 @@
 from . import registry
 
-_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames")
+_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity")
 
 
 def load() -> tuple[dict, dict]:

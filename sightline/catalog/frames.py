@@ -45,9 +45,9 @@ def scored(spark, sf):
     return overlap.with_scores(d.detections(spark, sf))
 
 
-@register("overlap_ratio", f"WITH {OVER} SELECT det_id, round(overlap_ratio, 8) AS overlap_ratio FROM over_det")
+@register("overlap_ratio", f"WITH {OVER} SELECT det_id, overlap_ratio FROM over_det")
 def _(spark, sf):
-    return overlap.with_overlap(d.detections(spark, sf)).select("det_id", F.round("overlap_ratio", 8).alias("overlap_ratio"))
+    return overlap.with_overlap(d.detections(spark, sf)).select("det_id", "overlap_ratio")
 
 
 @register("overlap_score", f"WITH {OVER} SELECT det_id, {OVERLAP_SCORE} AS value FROM over_det")
@@ -339,13 +339,13 @@ def _(spark, sf):
     return summary(spark, sf).select("tracklet_id", quality.promotion_tier().alias("tier"))
 
 
-@register("cluster_statistics", f"""WITH {d.ENTRIES} SELECT tracklet_id, count(*) AS entries, round(avg(v_score), 4) AS confidence_avg,
+@register("cluster_statistics", f"""WITH {d.ENTRIES} SELECT tracklet_id, count(*) AS entries, round(avg(v_score) / 1.3::DOUBLE, 4) AS confidence_avg,
   round(max(v_score), 4) AS confidence_max, round(min(overlap_ratio / 3), 4) AS iou_min, round(max(overlap_ratio / 3), 4) AS iou_max
 FROM entries GROUP BY 1""")
 def _(spark, sf):
     iou = F.col("overlap_ratio") / 3
     return d.tracklet_entries(spark, sf).groupBy("tracklet_id").agg(
-        F.count(F.lit(1)).alias("entries"), F.round(F.avg("v_score"), 4).alias("confidence_avg"),
+        F.count(F.lit(1)).alias("entries"), F.round(F.avg("v_score") / 1.3, 4).alias("confidence_avg"),
         F.round(F.max("v_score"), 4).alias("confidence_max"), F.round(F.min(iou), 4).alias("iou_min"),
         F.round(F.max(iou), 4).alias("iou_max"))
 
@@ -428,7 +428,7 @@ def _(spark, sf):
   row_number() OVER (PARTITION BY tracklet_id ORDER BY frame_no) AS entry_no FROM entries
 QUALIFY entry_no IN (2, 3, 5, 8, 12, 16, 22, 30, 40, 55, 75, 100)""")
 def _(spark, sf):
-    return sampling.throttled(d.tracklet_entries(spark, sf), ["tracklet_id"], ["frame_no"]).select(
+    return sampling.throttled(d.tracklet_entries(spark, sf), ["tracklet_id"], ["frame_no"], span=None).select(
         "tracklet_id", "frame_no", "entry_no")
 
 

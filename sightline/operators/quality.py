@@ -33,7 +33,7 @@ def consistency_from(size_delta: Column, move: Column, good_ratio: Column) -> di
 
 def summary(entries: DataFrame, cfg: Tracklets = TRACKLETS) -> DataFrame:
     """Consistency and motion of every tracklet from one ordered pass."""
-    rows = ordered.with_previous(entries, [KEY], [AXIS], BOX)
+    rows = ordered.with_previous(entries, [KEY], [AXIS], BOX, span=None)
     now, before = g.box(), g.box("prev1.")
     has = F.col("prev1").isNotNull()
 
@@ -102,7 +102,7 @@ def longest_good_run(entries: DataFrame, floor: float = TRACKLETS.good_frame) ->
     """Longest run of consecutive good frames: bad frames so far number the runs."""
     good = F.col("v_score") >= floor
     runs = ordered.with_running(entries.select(KEY, AXIS, "v_score"), [KEY], [AXIS],
-                                sums={"_bad": F.when(good, 0).otherwise(1)})
+                                sums={"_bad": F.when(good, 0).otherwise(1)}, span=None)
     lengths = runs.groupBy(KEY, "_bad").agg(F.count_if(good).alias("_n"))
     return lengths.groupBy(KEY).agg(F.max("_n").alias("good_run"))
 

@@ -37,17 +37,13 @@ def stride_sample(scored: DataFrame, cfg: Sampling = SAMPLING) -> DataFrame:
     rows = rows.withColumn("forced", forced(cfg))
     keys, order = ["device_id", "spatial_key"], ["frame_no", "det_id"]
     counted = rows.where(F.col("visibility_score") >= cfg.floor)
-    stepped = ordered.with_previous(counted, keys, order, ["frame_no"])
-    starts = F.col("prev1").isNull() | (F.col("frame_no") - F.col("prev1.frame_no") > cfg.stale_frames)
-    stepped = stepped.withColumn("_starts", starts).drop("prev1")
-    placed = ordered.with_running(stepped, keys, order, sums={"_pos": F.lit(1)})
-    placed = ordered.with_running(placed, keys, order,
-                                  maxima={"_base": F.when(F.col("_starts"), F.col("_pos") - 1)})
+    placed = ordered.with_sessions(counted, keys, order, cfg.stale_frames, count="count_in_key")
     rate = F.lit(None).cast("int")
     for tag, n in cfg.rates.items():
         rate = F.when(F.col("visibility_tag") == tag, n).otherwise(rate)
-    n = F.col("_pos") - F.col("_base")
-    kept = placed.withColumn("count_in_key", n).where(F.col("forced") | (n % rate == 0)).drop("_pos", "_base", "_starts")
+    kept = placed.drop("session").where(F.col("forced") | (F.col("count_in_key") % rate == 0))
+    if cfg.force_visibility >= cfg.floor:
+        return kept
     under = rows.where((F.col("visibility_score") < cfg.floor) & F.col("forced"))
     return kept.unionByName(under.withColumn("count_in_key", F.lit(None).cast("long")))
 
@@ -144,9 +140,9 @@ def representative_tracklet(entries: DataFrame, tracklets: DataFrame) -> DataFra
 
 
 def throttled(entries: DataFrame, keys: Sequence[str], order: Sequence[str],
-              steps: Sequence[int] = CLUSTERS.persist_steps) -> DataFrame:
+              steps: Sequence[int] = CLUSTERS.persist_steps, span: int | None = ordered.SPAN) -> DataFrame:
     """Rows at which a growing cluster is written out."""
-    return ordered.with_position(entries, keys, order, "entry_no").where(F.col("entry_no").isin(*steps))
+    return ordered.with_position(entries, keys, order, "entry_no", span).where(F.col("entry_no").isin(*steps))
 
 
 def frame_samples(entries: DataFrame) -> DataFrame:

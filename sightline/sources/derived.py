@@ -129,12 +129,10 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracklet_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with the tracklet they belong to: runs of one track on one
     device, cut at long gaps and after every ``max_entries`` rows."""
-    keys, axis = ["entity_id", "device_id"], "frame_no"
-    stepped = ordered.with_previous(observations(spark, sf_dir), keys, [axis], [axis])
-    starts = F.when(F.col(axis) - F.col(f"prev1.{axis}") <= TRACKLET_GAP, 0).otherwise(1)
-    cut = ordered.with_running(stepped, keys, [axis], sums={"session": starts, "position": F.lit(1)}).drop("prev1")
-    part = F.floor((F.col("position") - 1) / TRACKLETS.max_entries)
-    return cut.withColumn("part", part).drop("position").withColumn(
+    cut = ordered.with_sessions(
+        observations(spark, sf_dir), ["entity_id", "device_id"], ["frame_no"], TRACKLET_GAP, count="nth")
+    part = F.floor((F.col("nth") - 1) / TRACKLETS.max_entries)
+    return cut.withColumn("part", part).drop("nth").withColumn(
         "tracklet_id", F.concat_ws(":", "device_id", "track_id", "session", "part"))
 
 
@@ -175,9 +173,10 @@ ENTRIES = OBS + f""", flagged AS (
   FROM obs WINDOW w AS (PARTITION BY entity_id, device_id ORDER BY frame_no)),
 entries AS (
   SELECT *, concat_ws(':', device_id, track_id::VARCHAR, session::VARCHAR, part::VARCHAR) AS tracklet_id FROM (
-    SELECT * EXCLUDE (starts), sum(starts) OVER (PARTITION BY entity_id, device_id ORDER BY frame_no) AS session,
-      (row_number() OVER (PARTITION BY entity_id, device_id ORDER BY frame_no) - 1) // {TRACKLETS.max_entries} AS part
-    FROM flagged))"""
+    SELECT *, (row_number() OVER (PARTITION BY entity_id, device_id, session ORDER BY frame_no) - 1)
+      // {TRACKLETS.max_entries} AS part FROM (
+    SELECT * EXCLUDE (starts), sum(starts) OVER (PARTITION BY entity_id, device_id ORDER BY frame_no) AS session
+    FROM flagged)))"""
 _TRACKLETS = """ AS (
   SELECT *, CASE WHEN frame_start % 13 = 0 THEN 'occlusion_attached' ELSE 'matched' END AS state FROM (
   SELECT tracklet_id, track_id, {id} AS entity_id, device_id, session::BIGINT AS session,
