@@ -1,6 +1,6 @@
 from . import registry
 
-_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity")
+_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels")
 
 
 def load() -> tuple[dict, dict]:

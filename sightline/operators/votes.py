@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import UNKNOWN
+from ..config import LABELS, UNKNOWN
 
 
 def vote(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,3 +32,20 @@ def entity_vote(rows: DataFrame, keys: Sequence[str] = ("entity_id",)) -> DataFr
     """Sightings with an unknown label or no confidence do not vote."""
     usable = F.col("label").isNotNull() & (F.col("label") != "") & (F.col("label") != UNKNOWN)
     return vote(rows.where(usable & (F.col("confidence") > 0)), keys)
+
+
+def committed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], floor: float = LABELS.committed,
+              runs: int = LABELS.committed_runs) -> DataFrame:
+    """Keys whose latest ``runs`` confident labels all agree, with that label."""
+    sure = rows.where(F.col("label").isNotNull() & (F.col("label") != UNKNOWN) & (F.col("confidence") >= floor))
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    recent = sure.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= runs)
+    same = recent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("label"), F.max("label").alias("_m"))
+    return same.where((F.col("_n") == runs) & (F.col("label") == F.col("_m"))).select(*keys, "label")
+
+
+def committed_disagreement(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose sides are committed to different labels."""
+    a = labels.select(F.col("entity_id").alias("entity_a"), F.col("label").alias("label_a"))
+    b = labels.select(F.col("entity_id").alias("entity_b"), F.col("label").alias("label_b"))
+    return pairs.join(a, "entity_a").join(b, "entity_b").where(F.col("label_a") != F.col("label_b"))

@@ -54,7 +54,8 @@ SELECT user_id AS entity_id, concat('dev', CAST(event_id % 4 AS STRING)) AS devi
             WHEN (user_id * (j + 3) + j + (CASE WHEN event_id % 7 = j THEN 1 ELSE 0 END)) % 2 = 0 THEN 'a'
             ELSE 'b' END AS label,
        0.62 + CAST((user_id * 13 + j * 5) % 30 AS DOUBLE) / 100.0
-            + CAST((event_id * (j * 2 + 7919)) % 80 AS DOUBLE) / 1000.0 AS confidence
+            + CAST((event_id * (j * 2 + 7919)) % 80 AS DOUBLE) / 1000.0
+            + CAST((event_id * 31 + j) % 97 AS DOUBLE) / 1000003.0 AS confidence
 FROM @votes"""
 
 GALLERY = """
