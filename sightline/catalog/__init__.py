@@ -1,6 +1,6 @@
 from . import registry
 
-_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels")
+_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels", "temporal", "merging")
 
 
 def load() -> tuple[dict, dict]:
