@@ -1,6 +1,6 @@
 from . import registry
 
-_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels", "temporal", "merging")
+_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels", "temporal", "resolution", "merging", "tables", "streams")
 
 
 def load() -> tuple[dict, dict]:
