@@ -1,3 +1,10 @@
 """Entity resolution and entity queries over multi-device observations, on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in Python workers travel whole, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -55,7 +55,7 @@ def _(spark, sf):
     where = scratch(spark)
     e.writeStream.foreachBatch(live.entity_versions(f"{where}/entities")).option("checkpointLocation", f"{where}/state").trigger(
         availableNow=True).start().awaitTermination()
-    return live.latest_version(spark, f"{where}/entities", 0).select("entity_id", "sighting_count", "last_seen_device")
+    return live.latest_version(spark, f"{where}/entities").select("entity_id", "sighting_count", "last_seen_device")
 
 
 @register("stream_windowed_rates", """SELECT concat('dev', event_id % 4) AS device_id, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n FROM events

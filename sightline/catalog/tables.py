@@ -31,11 +31,11 @@ def _(spark, sf):
     return tables.best_snapshots(o)
 
 
-@register("sighting_append", f"""WITH {d.TRK} SELECT tracklet_id, entity_id, device_id, round(epoch_us(ended_at)::DOUBLE / 1e6 - epoch_us(started_at)::DOUBLE / 1e6, 3) AS duration_seconds,
+@register("sighting_append", f"""WITH {d.TRK} SELECT tracklet_id, entity_id, device_id, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6::DOUBLE AS duration_seconds,
   entry_count, round(v_avg, 7) AS quality_score FROM trk""")
 def _(spark, sf):
     t = d.tracklets(spark, sf).withColumn("quality_score", F.round("v_avg", 7)).withColumn("labels", F.lit(None))
-    return tables.sighting_rows(t).select("tracklet_id", "entity_id", "device_id", F.round("duration_seconds", 3).alias("duration_seconds"),
+    return tables.sighting_rows(t).select("tracklet_id", "entity_id", "device_id", "duration_seconds",
                                           "entry_count", "quality_score")
 
 
@@ -142,7 +142,7 @@ def _(spark, sf):
                       F.col("quality").isNotNull().alias("has_quality"), "schema_version")
 
 
-@register("display_frames", f"""WITH {d.DET}, f AS (SELECT device_id, frame_no AS frame_number, CASE WHEN frame_no % 9 = 0 THEN 0 ELSE count(*) END AS boxes FROM det
+@register("display_frames", f"""WITH {d.DET}, f AS (SELECT device_id, frame_no AS frame_number, CASE WHEN frame_no % 9 = 0 THEN 0 ELSE count(*) END AS boxes, frame_no FROM det
   WHERE frame_no % 50 <> 1 GROUP BY ALL) SELECT device_id, frame_number, boxes, base64(('img' || frame_number)::BLOB) AS image FROM f""")
 def _(spark, sf):
     return frames.display_frames(messages(spark, sf)).select("device_id", "frame_number", F.size("tracked").cast("long").alias("boxes"), "image")

@@ -58,25 +58,34 @@ def opposed(a: Column, b: Column, task: str) -> Column:
     return _both_known(a, b, task) & (label(a, task) != label(b, task))
 
 
-def supports_bridge(a: Column, b: Column, hard: str, cfg: Labels = LABELS) -> Column:
+def _conflict(a: Column, b: Column, hard: str, cfg: Labels, known_: Column | None) -> Column:
+    """The strong conflict, or the column that already holds it."""
+    return strong_conflict(a, b, hard, cfg) if known_ is None else known_
+
+
+def supports_bridge(a: Column, b: Column, hard: str, cfg: Labels = LABELS,
+                    conflict: Column | None = None) -> Column:
     """Hard task agrees and two stable tasks agree, all confidently."""
     matches = _count([agrees(a, b, t, cfg.bridge) for t in cfg.stable])
-    return ~strong_conflict(a, b, hard, cfg) & agrees(a, b, hard, cfg.bridge_hard) & (matches >= 2)
+    return ~_conflict(a, b, hard, cfg, conflict) & agrees(a, b, hard, cfg.bridge_hard) & (matches >= 2)
 
 
-def supports_high_confidence(a: Column, b: Column, hard: str, cfg: Labels = LABELS) -> Column:
+def supports_high_confidence(a: Column, b: Column, hard: str, cfg: Labels = LABELS,
+                             conflict: Column | None = None) -> Column:
     matches = _count([agrees(a, b, t, cfg.high) for t in cfg.stable])
-    return ~strong_conflict(a, b, hard, cfg) & (matches >= 2)
+    return ~_conflict(a, b, hard, cfg, conflict) & (matches >= 2)
 
 
-def supports_scale(a: Column, b: Column, hard: str, cfg: Labels = LABELS) -> Column:
+def supports_scale(a: Column, b: Column, hard: str, cfg: Labels = LABELS,
+                   conflict: Column | None = None) -> Column:
     matches = _count([agrees(a, b, t, cfg.scale) for t in cfg.scale_stable])
-    return ~strong_conflict(a, b, hard, cfg) & ~opposed(a, b, hard) & (matches >= 2)
+    return ~_conflict(a, b, hard, cfg, conflict) & ~opposed(a, b, hard) & (matches >= 2)
 
 
-def supports_clothing(a: Column, b: Column, hard: str, cfg: Labels = LABELS) -> Column:
+def supports_clothing(a: Column, b: Column, hard: str, cfg: Labels = LABELS,
+                      conflict: Column | None = None) -> Column:
     matches = _count([agrees(a, b, t, cfg.clothing) for t in cfg.stable])
-    return ~strong_conflict(a, b, hard, cfg) & (matches >= 3)
+    return ~_conflict(a, b, hard, cfg, conflict) & (matches >= 3)
 
 
 def stable_evidence(a: Column, hard: str, cfg: Labels = LABELS) -> Column:

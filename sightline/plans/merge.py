@@ -89,11 +89,12 @@ def pair_features(pairs: DataFrame, t: Tables) -> DataFrame:
 
 def _labelled(rows: DataFrame, hard: str) -> DataFrame:
     a, b = F.col("labels_a"), F.col("labels_b")
+    rows = rows.select("*", lb.strong_conflict(a, b, hard).alias("opposed"))
+    held = {"conflict": F.col("opposed")}
     return rows.select(
-        "*", lb.strong_conflict(a, b, hard).alias("opposed"), lb.opposed(a, b, hard).alias("hard_opposed"),
-        lb.supports_bridge(a, b, hard).alias("bridge"), lb.supports_high_confidence(a, b, hard).alias("high"),
-        lb.supports_scale(a, b, hard).alias("scaled"), lb.supports_clothing(a, b, hard).alias("clothing"),
-        lb.agrees(a, b, hard, lb.LABELS.singleton_hard).alias("hard_same"),
+        "*", lb.opposed(a, b, hard).alias("hard_opposed"), lb.supports_bridge(a, b, hard, **held).alias("bridge"),
+        lb.supports_high_confidence(a, b, hard, **held).alias("high"), lb.supports_scale(a, b, hard, **held).alias("scaled"),
+        lb.supports_clothing(a, b, hard, **held).alias("clothing"), lb.agrees(a, b, hard, lb.LABELS.singleton_hard).alias("hard_same"),
         (lb.stable_evidence(a, hard) & lb.stable_evidence(b, hard)).alias("both_stable"))
 
 

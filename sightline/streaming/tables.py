@@ -23,8 +23,9 @@ def entity_versions(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest_version(spark, path: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={batch_id}")
+def latest_version(spark, path: str) -> DataFrame:
+    versions = spark.read.parquet(path)
+    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
 
 
 def counters(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
