@@ -108,13 +108,15 @@ def compare(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema: T.
     with itself and visits each unordered block pair once."""
     mirror = right is None
     base = left if mirror else right
-    first = base.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
-    dim = int(first[0]) if first else 1
+    spark = left.sparkSession
+    size = base.where(F.col(vec).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
+    if not size.n:
+        return spark.createDataFrame([], schema)
+    total, dim = size.n, size.dim
     block = block or max(256, BLOCK_BYTES // (8 * dim))
 
-    total = base.count()
     wanted = 1 if floor is None else int(min(MAX_PIVOTS, max(1, np.sqrt(total / block))))
-    pivots = _pivots(base, vec, id_col, max(1, wanted)) if total else np.zeros((1, dim))
+    pivots = _pivots(base.where(F.col(vec).isNotNull()), vec, id_col, wanted)
     r_cells = _with_cells(base, id_col, tag_col, vec, pivots)
     r_stats = _cell_stats(r_cells)
     l_cells = r_cells if mirror else _with_cells(left, id_col, tag_col, vec, pivots)
@@ -127,7 +129,6 @@ def compare(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema: T.
         for a in l_stats for b in r_stats
         if (not mirror or a <= b) and between[a, b] - l_stats[a][1] - r_stats[b][1] <= reach
     ]
-    spark = left.sparkSession
     if not pairs:
         return spark.createDataFrame([], schema)
     # at most MAX_PIVOTS squared rows of four integers
