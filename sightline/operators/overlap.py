@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
-CELL = 256
+CELL = 512
 FRAME = ("device_id", "frame_no")
 
 
@@ -62,10 +62,11 @@ def union_area(rects: Column) -> Column:
             F.greatest(acc["reach"], run["y2"]).alias("reach")))
         return swept["total"]
 
-    first = F.get(rects, F.lit(0))
-    alone = (first["x2"] - first["x1"]) * (first["y2"] - first["y1"])
+    p, q = (g.Box(*[F.get(rects, F.lit(i))[c] for c in ("x1", "y1", "x2", "y2")]) for i in (0, 1))
     many = F.aggregate(slabs, F.lit(0.0), lambda acc, s: acc + covered(s) * (s["hi"] - s["lo"]))
-    return F.when(F.size(rects) == 1, alone).otherwise(many)
+    # one or two rectangles are the common case and need no sweep
+    return F.when(F.size(rects) == 1, g.area(p)).when(
+        F.size(rects) == 2, g.area(p) + g.area(q) - g.intersection(p, q)).otherwise(many)
 
 
 def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME, cell: int = CELL) -> DataFrame:
@@ -89,7 +90,8 @@ def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FR
     pieces = (
         l.join(r, on).where(~g.same_box(a, b)).withColumn("_rect", rect)
         .where("_rect.x2 > _rect.x1 AND _rect.y2 > _rect.y1")
-        .groupBy(key, "_cx", "_cy").agg(F.collect_set("_rect").alias("_rects"))
+        # the join already placed all rows of a cell together, so this grouping moves nothing
+        .groupBy(*on, key).agg(F.collect_set("_rect").alias("_rects"))
     )
     return pieces.groupBy(key).agg(F.sum(union_area(F.col("_rects"))).alias("covered"))
 
