@@ -308,11 +308,11 @@ def _(spark, sf):
 
 
 @register("time_buckets", f"""WITH {d.OBS} SELECT frame_no, strftime(ts, '%Y-%m-%d') AS day,
-  strftime(ts, '%Y-%m-%dT%H:00') AS hour, round(v_score / 7, 2) AS v2, round(overlap_ratio / 3, 4) AS o4 FROM obs""")
+  strftime(ts, '%Y-%m-%dT%H:00') AS hour, round(sqrt(v_score), 2) AS v2, round(overlap_ratio / 3, 4) AS o4 FROM obs""")
 def _(spark, sf):
     return d.observations(spark, sf).select(
         "frame_no", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:00").alias("hour"),
-        F.round(F.col("v_score") / 7, 2).alias("v2"), F.round(F.col("overlap_ratio") / 3, 4).alias("o4"))
+        F.round(F.sqrt("v_score"), 2).alias("v2"), F.round(F.col("overlap_ratio") / 3, 4).alias("o4"))
 
 
 @register("bytes_to_base64", "SELECT event_id, base64(props::BLOB) AS value FROM events")

@@ -142,7 +142,7 @@ def _(spark, sf):
                       F.col("quality").isNotNull().alias("has_quality"), "schema_version")
 
 
-@register("display_frames", f"""WITH {d.DET}, f AS (SELECT device_id, frame_no AS frame_number, CASE WHEN frame_no % 9 = 0 THEN 0 ELSE count(*) END AS boxes, frame_no FROM det
+@register("display_frames", f"""WITH {d.DET}, f AS (SELECT device_id, frame_no AS frame_number, CASE WHEN min(frame_no) % 9 = 0 THEN 0 ELSE count(*) END AS boxes FROM det
   WHERE frame_no % 50 <> 1 GROUP BY ALL) SELECT device_id, frame_number, boxes, base64(('img' || frame_number)::BLOB) AS image FROM f""")
 def _(spark, sf):
     return frames.display_frames(messages(spark, sf)).select("device_id", "frame_number", F.size("tracked").cast("long").alias("boxes"), "image")
