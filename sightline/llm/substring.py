@@ -70,6 +70,23 @@ def _counters(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np
     return cells, place, np.minimum(count, 2)
 
 
+SKIP = 0xFFFF
+
+
+def _packed(gaps: np.ndarray) -> bytes:
+    """Two bytes a gap; a gap of SKIP or more is SKIP, as often as it fits in, and the rest."""
+    skips, rest = np.divmod(gaps, np.uint64(SKIP))
+    out = np.full(len(gaps) + int(skips.sum()), SKIP, "<u2")
+    out[np.cumsum(skips).astype(np.int64) + np.arange(len(gaps))] = rest
+    return out.tobytes()
+
+
+def _unpacked(payload: bytes) -> np.ndarray:
+    """Counters in their block, from gaps."""
+    values = np.frombuffer(payload, "<u2")
+    return np.cumsum(values, dtype=np.uint64)[values != SKIP]
+
+
 def _sketch(n: int, bits: int, block_bits: int):
     def make(table: pa.Table) -> pa.Table:
         _, _, hashes, _ = _windows(raw(table, "text"), n)
@@ -81,8 +98,7 @@ def _sketch(n: int, bits: int, block_bits: int):
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             first = np.uint64(block[a]) << np.uint64(bits - block_bits)
             gaps = np.diff(cells[a:b], prepend=first)
-            wide = gaps.max() > 0xFFFF
-            payload.append((b"\1" if wide else b"\0") + gaps.astype("<u8" if wide else "<u2").tobytes())
+            payload.append(_packed(gaps))
             blocks.append(int(block[a]))
         return pa.table({"_block": pa.array(blocks, pa.int64()), "_chunk": pa.array([table.column("_chunk")[0].as_py()] * len(blocks), pa.int64()),
                          "gaps": pa.array(payload, pa.binary())})
@@ -93,7 +109,7 @@ def _sketch(n: int, bits: int, block_bits: int):
 def _merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum one block of all sketches; tell each chunk which of its counters reach 2."""
     table = pa.Table.from_batches(list(parts))
-    cells = [np.cumsum(np.frombuffer(x, "<u8" if x[0] else "<u2", offset=1).astype(np.uint64)) for x in table.column("gaps").to_pylist()]
+    cells = [_unpacked(x) for x in table.column("gaps").to_pylist()]
     every = np.concatenate(cells)
     order = np.argsort(every)
     ranked = every[order]
