@@ -45,9 +45,26 @@ PHONE_DIGITS = (9, 15)
 SCRIPTS = (("a", "z"), ("а", "я"), ("α", "ρ"), ("א", "ת"), ("ا", "غ"), ("ぁ", "ん"), ("一", "鿿"), ("가", "힣"))
 
 
+#: what a line must have to hold an entity: a digit or @, the start of a key, or a title or first name
+MARK = re.compile(r"[\d@]")
+KEY_STARTS = ("sk", "pk", "ghp", "gho", "xox", "AKIA", "ASIA", "AIza", "eyJ")
+CAPITAL = re.compile(r"[A-ZÑ]\w+")
+NAMED = frozenset((*WOMEN, *MEN, *TITLES))
+
+
+def _matches(text: str) -> Iterator[re.Match]:
+    """Matches of SEARCH; no pattern spans lines, so only lines that may hold one are searched."""
+    start = 0
+    for line in text.split("\n"):
+        end = start + len(line)
+        if MARK.search(line) or not NAMED.isdisjoint(CAPITAL.findall(line)) or any(k in line for k in KEY_STARTS):
+            yield from SEARCH.finditer(text, start, end)
+        start = end + 1
+
+
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, type, normalised value) of the entities in a text, in order, without overlaps."""
-    for m in SEARCH.finditer(text):
+    for m in _matches(text):
         kind, value = m.lastgroup, m[0]
         if kind == "email":
             end = m.end() - (len(value) - len(value.rstrip(".-")))
