@@ -136,7 +136,7 @@ def bucket(group_by: str, ts: str = "started_at", device: str = "device_id") ->
 
 
 def sighting_aggregation(sightings: DataFrame, group_by: str = "hour", entity_id: int | None = None,
-                         device_id: str | None = None, start=None, end=None, limit: int | None = 200) -> DataFrame:
+                         device_id: str | None = None, start=None, end=None, limit: int | None = None) -> DataFrame:
     wanted = _between("started_at", start, end)
     if entity_id is not None:
         wanted.append(F.col("entity_id") == entity_id)
