@@ -32,7 +32,7 @@ def tracklets(spark, sf):
         wave.alias("vec"), (F.lit(0.45) + (e % 53) / 100).alias("v_avg"), (F.lit(0.5) + (e % 47) / 94).alias("vector_consistency"),
         (e % 9 + 2).alias("entry_count"), (e % 5 + 1).alias("quality_frames"), ((e % 37) / 80).alias("max_overlap"),
         F.when(e % 6 == 1, e).alias("current_id"), F.when(e % 5 == 2, e).alias("hint_id"), e.alias("own"),
-        F.when(e % 8 == 3, 5).otherwise(0).alias("attempts"), (e % 16 == 3).alias("was_ambiguous"))
+        F.when(e % 8 == 3, 5).when(e % 8 == 5, 1).otherwise(0).alias("attempts"), (e % 16 == 3).alias("was_ambiguous"))
 
 
 def known(spark, sf):
@@ -114,13 +114,99 @@ def decided(spark, sf, allow_new=True):
     return resolve.cascade(cut(rows), allow_new)
 
 
-@register("match_cascade")
+def _leader_sql(name, threshold, k, ok):
+    by = "PARTITION BY tracklet_id ORDER BY b DESC, entity_id"
+    return f"""{name} AS (SELECT tracklet_id, max(entity_id) FILTER (q = 1) AS id, max(b) FILTER (q = 1) AS score, max(b) FILTER (q = 2) AS second,
+  max(b) FILTER (NOT mine) AS other FROM (SELECT *, row_number() OVER ({by}) AS q FROM (SELECT *, row_number() OVER ({by}) AS r FROM (
+    SELECT *, CASE WHEN s2 >= {threshold} THEN 0.5::DOUBLE * s1 + 0.5::DOUBLE * s2 ELSE s1 END AS b FROM sc WHERE s1 >= {threshold})) WHERE r <= {k} AND ({ok})) GROUP BY 1)"""
+
+
+LOOSE = "NOT forbidden AND NOT recent AND NOT blocked AND NOT mine"
+
+
+def _clear(name):
+    return f"({name}.id IS NOT NULL AND coalesce({name}.score - {name}.second >= 0.06, true))"
+
+
+def _end(method, source, entity=None, score=None, second=None, hint=None):
+    source = source if "CASE" in source or "||" in source or source == "promoted" else f"'{source}'"
+    return (f"{{'method': '{method}', 'source': {source}, 'entity_id': CAST({entity or 'NULL'} AS BIGINT), 'score': CAST({score or 'NULL'} AS DOUBLE), "
+            f"'runner_up': CAST({second or 'NULL'} AS DOUBLE), 'suggested_id': CAST({hint or 'NULL'} AS BIGINT)}}")
+
+
+def _hit(method, source, name):
+    return _end(method, source, f"{name}.id", f"{name}.score", f"{name}.second")
+
+
+def _cascade_sql(allow_new, columns):
+    """The cascade as one CASE over scores that are searched for one by one."""
+    defer = {"entity": None, "score": "nr.score", "second": "nr.second", "hint": "nr.id"}
+    short = _end("tentative_pending", "provisional_short_tracklet")
+    fresh = f"good AND NOT unclear AND {allow_new}"
+    steps = [
+        ("x.current_id IS NULL AND vector_consistency < 0.55", _end("consistency_rejected", "incoherent_tracklet")),
+        ("mn.id IS NOT NULL AND kept AND NOT switch", _end("current_identity_maintained", "track_continuity", "x.current_id", "x.current_score", "mn.other")),
+        ("mn.id IS NOT NULL AND NOT unclear", _hit("gallery_match", "gallery_search", "mn")),
+        ("kept", _end("current_identity_maintained", "track_continuity", "x.current_id", "x.current_score")),
+        ("hint_id IS DISTINCT FROM x.current_id AND hint_ok AND hint_score >= 0.62", _end("spatial_appearance_reuse", "spatial_hint", "hint_id", "hint_score")),
+        ("ax.id IS NOT NULL AND ax.support >= 0.62 AND coalesce(ax.score - ax.second >= 0.03, true)", _hit("scale_aux_gallery_match", "upper_body_gallery", "ax")),
+        (f"good AND NOT {allow_new} AND {_clear('cp')}", _hit("capped_soft_match", "identity_cap", "cp")),
+        (f"{fresh} AND entry_count < 6", short),
+        (f"{fresh} AND {_clear('so')}", _hit("soft_match_at_promotion", "promoted", "so")),
+        (f"{fresh} AND nr.id IS NOT NULL", _end("near_gallery_deferred", "promoted", **defer)),
+        (f"{fresh} AND gate IS NULL", _end("new_identity", "promoted")),
+        (fresh, _end("new_identity_blocked", "promoted || '__' || gate")),
+        ("tries < 5", _end("tentative_pending", "quality_gate")),
+        (f"NOT {allow_new} AND {_clear('cp')}", _hit("capped_soft_match", "identity_cap_fallback", "cp")),
+        (f"NOT {allow_new}", _end("new_identity_suppressed", "new_identity_disabled")),
+        ("dim AND fr.id IS NOT NULL", _hit("ambiguous_resolved", "tentative_fallback", "fr")),
+        ("dim AND entry_count < 6", short),
+        ("dim AND gate IS NULL", _end("new_identity", "ambiguous_fallback")),
+        ("dim", _end("new_identity_blocked", "'ambiguous_fallback__' || gate")),
+        (_clear("so"), _hit("tentative_soft_match", "tentative_fallback", "so")),
+        ("nr.id IS NOT NULL AND NOT (good AND entry_count >= 6 AND coalesce(op.score, 0) < 0.64)", _end("near_gallery_deferred", "tentative_near_gallery", **defer)),
+        ("NOT good", _end("tentative_pending", "quality_gate_blocked_fallback")),
+        ("entry_count < 6", short),
+        ("gate IS NULL", _end("new_identity", "tentative_fallback")),
+        ("true", _end("new_identity_blocked", "'tentative_fallback__' || gate")),
+    ]
+    chain = "\n  ".join(f"WHEN {condition} THEN {end}" for condition, end in steps)
+    out = ", ".join(f"round(o.{c}, 6) AS {c}" if c in ("score", "runner_up") else f"o.{c} AS {c}" for c in columns)
+    return f"""WITH {AUXQ}, t0 AS (SELECT *, CASE WHEN own % 6 = 1 THEN own END AS current_id, CASE WHEN own % 5 = 2 THEN own END AS hint_id,
+  CASE own % 8 WHEN 3 THEN 6 WHEN 5 THEN 2 ELSE 1 END AS tries, own % 16 = 3 AS was_dim, v_avg < 0.65 OR track_id < 0 AS low FROM tr),
+xs AS (SELECT tracklet_id, own AS entity_id, own % 9 = 0 AS forbidden, own % 13 = 0 AS recent, own % 10 = 1 AS blocked, own % 20 = 1 AS duplicate FROM tr WHERE own % 6 <> 1),
+sc AS (SELECT ps.*, low, coalesce(entity_id = current_id, false) AS mine, coalesce(forbidden, false) AS forbidden, coalesce(recent, false) AS recent,
+  coalesce(blocked, false) AS blocked, coalesce(duplicate, false) AS duplicate FROM ps JOIN t0 USING (tracklet_id) LEFT JOIN xs USING (tracklet_id, entity_id)),
+{_leader_sql('mn', 'CASE WHEN low THEN 0.75 ELSE 0.73 END', 5, 'mine OR (NOT forbidden AND NOT recent AND (NOT blocked OR (duplicate AND b >= 0.9)))')},
+{_leader_sql('so', 0.73, 2, LOOSE)}, {_leader_sql('nr', '0.60', 2, LOOSE)}, {_leader_sql('cp', 0.57, 2, LOOSE)}, {_leader_sql('fr', 0.73, 5, LOOSE)},
+{_leader_sql('op', '0.60', 1, 'true')},
+os AS (SELECT tracklet_id, greatest(max({ANN}(t0.vec, gp.vec)) FILTER (gp.entity_id = current_id), 0.0) AS current_score,
+  greatest(max({ANN}(t0.vec, gp.vec)) FILTER (gp.entity_id = hint_id), 0.0) AS hint_score FROM t0 JOIN gp ON gp.entity_id IN (current_id, hint_id) GROUP BY 1),
+a1 AS (SELECT aq.tracklet_id, g.entity_id, max({ANN}(aq.vec, g.vec)) AS score FROM aq JOIN gal g ON g.v = 1 WHERE aq.own % 6 <> 1 GROUP BY ALL HAVING max({ANN}(aq.vec, g.vec)) >= 0.66),
+a3 AS (SELECT * FROM a1 QUALIFY row_number() OVER (PARTITION BY tracklet_id ORDER BY score DESC, entity_id) <= 3),
+a2 AS (SELECT a3.*, row_number() OVER w AS r, lead(score) OVER w AS second FROM a3 LEFT JOIN xs USING (tracklet_id, entity_id)
+  WHERE NOT coalesce(forbidden OR recent OR blocked, false) WINDOW w AS (PARTITION BY tracklet_id ORDER BY score DESC, entity_id)),
+ax AS (SELECT a2.tracklet_id, a2.entity_id AS id, a2.score, second, greatest(max({ANN}(tr.vec, gp.vec)), 0.0) AS support FROM a2 JOIN tr USING (tracklet_id)
+  JOIN gp ON gp.entity_id = a2.entity_id WHERE r = 1 GROUP BY ALL),
+x AS (SELECT t0.*, current_score, hint_score, v_avg >= 0.6 AND vector_consistency >= 0.65 AS good, CASE WHEN tries > 1 THEN 'tentative_promoted' ELSE 'new_detection' END AS promoted,
+  CASE WHEN entry_count < 6 THEN 'gate_tracklet_len' WHEN quality_frames < 3 THEN 'gate_high_quality_frames' WHEN v_avg < 0.6 THEN 'gate_v_avg'
+    WHEN vector_consistency < 0.65 THEN 'gate_consistency' END AS gate,
+  coalesce(current_score >= CASE WHEN low THEN 0.75 ELSE 0.5 END, false) AS kept,
+  NOT EXISTS (SELECT 1 FROM xs WHERE xs.tracklet_id = t0.tracklet_id AND xs.entity_id = hint_id AND (forbidden OR recent)) AS hint_ok FROM t0 LEFT JOIN os USING (tracklet_id)),
+y AS (SELECT x.*, coalesce((other >= 0.92 AND other - current_score >= 0.22) OR (current_score <= 0.7 AND other >= 0.78 AND other - current_score >= 0.18), false) AS switch,
+  coalesce(mn.id IS DISTINCT FROM current_id AND mn.score < 0.92 AND mn.score - second < 0.06, false) AS unclear FROM x LEFT JOIN mn USING (tracklet_id)),
+z AS (SELECT x.tracklet_id, CASE {chain} END AS o FROM (SELECT *, unclear OR was_dim AS dim FROM y) x LEFT JOIN mn USING (tracklet_id) LEFT JOIN so USING (tracklet_id)
+  LEFT JOIN nr USING (tracklet_id) LEFT JOIN cp USING (tracklet_id) LEFT JOIN fr USING (tracklet_id) LEFT JOIN op USING (tracklet_id) LEFT JOIN ax USING (tracklet_id))
+SELECT tracklet_id, {out} FROM z"""
+
+
+@register("match_cascade", _cascade_sql("true", ("method", "source", "entity_id", "suggested_id", "score", "runner_up")))
 def _(spark, sf):
     return decided(spark, sf).select("tracklet_id", "method", "source", "entity_id", "suggested_id", F.round("score", 6).alias("score"),
                                      F.round("runner_up", 6).alias("runner_up"))
 
 
-@register("match_cascade_capped")
+@register("match_cascade_capped", _cascade_sql("false", ("method", "source", "entity_id", "score")))
 def _(spark, sf):
     return decided(spark, sf, allow_new=False).select("tracklet_id", "method", "source", "entity_id", F.round("score", 6).alias("score"))
 

@@ -343,15 +343,15 @@ def one_pass(pairs: DataFrame, t: Tables, optional: bool = False) -> DataFrame:
     """Merges of one pass: those by vector, then spatial splits among what is left."""
     near = similarity.duplicate_candidates(pairs, M.candidate_floor, ranks=M.retries)
     by_vector = cut(mutual(proposals(judged(near, t, optional))))
-    return by_vector.unionByName(mutual(proposals(spatial_splits(pairs, t, by_vector, optional))))
+    return by_vector.unionByName(mutual(proposals(spatial_splits(t, by_vector, optional))))
 
 
-def spatial_splits(pairs: DataFrame, t: Tables, taken: DataFrame, optional: bool = False) -> DataFrame:
-    """Pairs the vector search does not rank but whose tracklets hand over."""
+def spatial_splits(t: Tables, taken: DataFrame, optional: bool = False) -> DataFrame:
+    """Pairs the vector search does not rank but whose tracklets hand over, each at its true score."""
     used = taken.select(F.explode(F.array("entity_a", "entity_b")).alias("_e")).distinct()
     free = t.tracklets.join(used.withColumnRenamed("_e", "entity_id"), "entity_id", "left_anti")
-    close = temporal.nearby_pairs(free, 240, 1.30)
-    scored = close.join(pairs, ["entity_a", "entity_b"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    close = cut(temporal.nearby_pairs(free, 240, 1.30))
+    scored = close.join(similarity.pair_similarity(close, t.gallery), ["entity_a", "entity_b"])
     rows = scored.select(F.col("entity_a").alias("entity_id"), F.col("entity_b").alias("other_id"), F.lit(1).alias("rank"), "score",
                          F.lit(None).cast("double").alias("runner_up"))
     return judged(rows, t, optional).where(F.col("reason").isNotNull())
@@ -361,8 +361,8 @@ def reconcile(t: Tables, passes: int = M.passes, optional: bool = False, block:
     """(source_id, target_id, score, method, reason, pass) over all passes, targets
     resolved to the final survivor. Pair scores are computed once and relabelled:
     the best score of a merged pair is the best of its parts."""
+    t = t._replace(tracklets=cut(t.tracklets), label_rows=cut(t.label_rows), gallery=cut(t.gallery))
     pairs = cut(candidate_pairs(t.gallery, block=block))
-    t = t._replace(tracklets=cut(t.tracklets), label_rows=cut(t.label_rows))
     found: DataFrame | None = None
     for n in range(1, passes + 1):
         merges = cut(one_pass(pairs, t, optional).select("source_id", "target_id", "score", "method", "reason", F.lit(n).alias("pass")))
@@ -370,7 +370,8 @@ def reconcile(t: Tables, passes: int = M.passes, optional: bool = False, block:
             break
         found = merges if found is None else found.unionByName(merges)
         pairs = cut(_relabel(pairs, merges))
-        t = t._replace(tracklets=cut(rename(t.tracklets, merges)), label_rows=cut(rename(t.label_rows, merges)))
+        t = t._replace(tracklets=cut(rename(t.tracklets, merges)), label_rows=cut(rename(t.label_rows, merges)),
+                       gallery=cut(rename(t.gallery, merges)))
     if found is None:
         return merges
     return final_targets(found)

@@ -113,7 +113,7 @@ def with_scores(tracklets: DataFrame, gallery: DataFrame, aux: DataFrame | None
     out = tracklets
     for prefix, threshold, k, ok in (("main", strict, M.top_k, main_ok), ("soft", F.lit(M.soft), 2, loose),
                                      ("near", F.lit(M.near), 2, loose), ("capped", F.lit(M.capped), 2, loose),
-                                     ("fresh", F.lit(M.threshold), M.top_k, loose)):
+                                     ("fresh", F.lit(M.threshold), M.top_k, loose), ("open", F.lit(M.near), 1, F.lit(True))):
         out = out.join(leaders(scored, threshold, k, ok, prefix), "tracklet_id", "left")
     for name in ("current", "hint"):
         asked = tracklets.where(F.col(f"{name}_id").isNotNull()).select(
@@ -125,10 +125,15 @@ def with_scores(tracklets: DataFrame, gallery: DataFrame, aux: DataFrame | None
         return out.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (
             ("aux_id", "long"), ("aux_score", "double"), ("aux_second", "double"), ("aux_full", "double"))])
     asked = tracklets.where(similarity_aux_allowed()).select(F.col("tracklet_id").alias("query_id"), "vec")
-    top = similarity.search_aux(asked, aux, block=block).where("rank <= 2").groupBy("query_id").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("entity_id"))).alias("aux_id"),
-        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("aux_score"),
-        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("aux_second")).withColumnRenamed("query_id", "tracklet_id")
+    found = similarity.search_aux(asked, aux, block=block).withColumnRenamed("query_id", "tracklet_id")
+    if exclusions is not None:
+        barred = marked.where(F.col("forbidden") | F.col("recent") | F.col("blocked"))
+        found = found.join(barred.select("tracklet_id", "entity_id"), ["tracklet_id", "entity_id"], "left_anti")
+    found = found.withColumn("_r", F.row_number().over(Window.partitionBy("tracklet_id").orderBy("rank")))
+    top = found.groupBy("tracklet_id").agg(
+        F.max(F.when(F.col("_r") == 1, F.col("entity_id"))).alias("aux_id"),
+        F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("aux_score"),
+        F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("aux_second"))
     full = similarity.own_score(
         top.join(tracklets.select("tracklet_id", "vec"), "tracklet_id").select(
             F.col("tracklet_id").alias("query_id"), F.col("aux_id").alias("entity_id"), "vec"), gallery)
@@ -153,7 +158,9 @@ def soft_hit(prefix: str) -> Column:
 def cascade(rows: DataFrame, allow_new: bool = True) -> DataFrame:
     """method, source, entity_id, score, runner_up and suggested_id per tracklet.
 
-    ``attempts`` counts earlier parked attempts of the track, whose best one the
+    The outcome is the last decision of an attempt: an ambiguous leader, a current
+    identity that failed or an unsupported part-view match does not end it, and
+    the attempt goes on to park, mint or fall back. ``attempts`` counts earlier parked attempts of the track, whose best one the
     row carries; ``was_ambiguous`` tells whether any of them was ambiguous.
     """
     low = low_visibility()
@@ -182,7 +189,11 @@ def cascade(rows: DataFrame, allow_new: bool = True) -> DataFrame:
     gate = new_identity_gate()
     short = F.col("entry_count") < M.mint_entries
     close = F.col("near_id").isNotNull() & F.lit(M.near < M.soft)
-    may_mint_late = F.coalesce(F.col("near_score") < M.near_mint_below, F.lit(True))
+    may_mint_late = F.coalesce(F.col("open_score") < M.near_mint_below, F.lit(True))
+    promoted = F.when(again, "tentative_promoted").otherwise("new_detection")
+
+    def blocked(source: Column | str) -> Column:
+        return F.concat_ws("__", source if isinstance(source, Column) else F.lit(source), gate)
     fresh_promote = promote & ~unclear & F.lit(allow_new)
 
     steps: list[tuple[Column, str, Column | str, str | None]] = [
@@ -194,27 +205,25 @@ def cascade(rows: DataFrame, allow_new: bool = True) -> DataFrame:
         (hinted, "spatial_appearance_reuse", "spatial_hint", "hint"),
         (aux_found & aux_backed & aux_clear, "scale_aux_gallery_match", "upper_body_gallery", "aux"),
         (promote & F.lit(not allow_new) & soft_hit("capped"), "capped_soft_match", "identity_cap", "capped"),
-        (fresh_promote & short, "new_identity_deferred", "short_tracklet", None),
-        (fresh_promote & soft_hit("soft"), "soft_match_at_promotion", F.when(again, "tentative_promoted").otherwise("new_detection"), "soft"),
-        (fresh_promote & close, "near_gallery_deferred", F.when(again, "tentative_promoted").otherwise("new_detection"), None),
-        (fresh_promote & gate.isNull(), "new_identity", F.when(again, "tentative_promoted").otherwise("new_detection"), None),
-        (fresh_promote, "new_identity_blocked", gate, None),
+        (fresh_promote & short, "tentative_pending", "provisional_short_tracklet", None),
+        (fresh_promote & soft_hit("soft"), "soft_match_at_promotion", promoted, "soft"),
+        (fresh_promote & close, "near_gallery_deferred", promoted, None),
+        (fresh_promote & gate.isNull(), "new_identity", promoted, None),
+        (fresh_promote, "new_identity_blocked", blocked(promoted), None),
         (F.lit(M.eager < M.soft) & ~again & soft_hit("soft"), "eager_soft_match", "eager_pre_tentative", "soft"),
-        (aux_found & ~aux_backed, "scale_aux_rejected_low_full_gallery_support", "upper_body_gallery", None),
-        (aux_found & ~aux_clear, "scale_aux_ambiguous_rejected", "upper_body_gallery", None),
-        (unclear & ~again, "ambiguous_rejected", "gallery_search", None),
-        (has_current & ~again, "current_identity_rejected", "track_continuity", None),
         (~again, "tentative_pending", "quality_gate", None),
         (last & F.lit(not allow_new) & soft_hit("capped"), "capped_soft_match", "identity_cap_fallback", "capped"),
         (last & F.lit(not allow_new), "new_identity_suppressed", "new_identity_disabled", None),
         (last & ambiguous & F.col("fresh_id").isNotNull(), "ambiguous_resolved", "tentative_fallback", "fresh"),
+        (last & ambiguous & short, "tentative_pending", "provisional_short_tracklet", None),
         (last & ambiguous & gate.isNull(), "new_identity", "ambiguous_fallback", None),
-        (last & ambiguous, "new_identity_blocked", gate, None),
+        (last & ambiguous, "new_identity_blocked", blocked("ambiguous_fallback"), None),
         (last & soft_hit("soft"), "tentative_soft_match", "tentative_fallback", "soft"),
         (last & close & ~(promote & ~short & may_mint_late), "near_gallery_deferred", "tentative_near_gallery", None),
         (last & ~promote, "tentative_pending", "quality_gate_blocked_fallback", None),
+        (last & short, "tentative_pending", "provisional_short_tracklet", None),
         (last & gate.isNull(), "new_identity", "tentative_fallback", None),
-        (last, "new_identity_blocked", gate, None),
+        (last, "new_identity_blocked", blocked("tentative_fallback"), None),
     ]
     index = F
     for n, (condition, *_) in enumerate(steps):
@@ -230,12 +239,14 @@ def cascade(rows: DataFrame, allow_new: bool = True) -> DataFrame:
         return out.otherwise(F.lit(None).cast(kind))
 
     named = [(n, p) for n, (_, _, _, p) in enumerate(steps) if p]
+    # a kept identity names the strongest rival it was weighed against
+    seconds = [(n, F.col(f"{p}_second")) for n, p in named if p not in ("current", "hint")] + [(1, F.col("main_other"))]
     out = staged.select(
         "*", pick([(n, F.lit(m)) for n, (_, m, _, _) in enumerate(steps)], "string").alias("method"),
         pick([(n, o if isinstance(o, Column) else F.lit(o)) for n, (_, _, o, _) in enumerate(steps)], "string").alias("source"),
         pick([(n, F.col(f"{p}_id")) for n, p in named], "long").alias("entity_id"),
         pick([(n, F.col(f"{p}_score")) for n, p in named], "double").alias("score"),
-        pick([(n, F.col(f"{p}_second")) for n, p in named if p not in ("current", "hint")], "double").alias("runner_up"))
+        pick(seconds, "double").alias("runner_up"))
     out = out.withColumn("method", F.coalesce("method", F.lit("tentative_pending"))).withColumn(
         "source", F.coalesce("source", F.lit("quality_gate"))).drop("_step")
     deferred = F.col("method") == "near_gallery_deferred"

@@ -74,9 +74,10 @@ def test_cascade_paths(spark):
         row(10, far, hq=1), row(11, half, v_avg=0.5), row(12, far, v_avg=0.5, att=4), row(13, [1.0, 0.1, 0.0], cur=2),
     ]
     out = {r.tracklet_id: r for r in resolve.cascade(resolve.with_scores(spark.createDataFrame(data, cols), gallery)).collect()}
-    want = {1: "gallery_match", 2: "new_identity", 3: "new_identity_deferred", 4: "tentative_pending", 5: "consistency_rejected",
+    want = {1: "gallery_match", 2: "new_identity", 3: "tentative_pending", 4: "tentative_pending", 5: "consistency_rejected",
             6: "near_gallery_deferred", 7: "current_identity_maintained", 8: "new_identity", 9: "spatial_appearance_reuse",
             10: "new_identity_blocked", 11: "tentative_pending", 12: "tentative_pending", 13: "gallery_match"}
     assert {k: v.method for k, v in out.items()} == want
+    assert out[3].source == "provisional_short_tracklet" and out[10].source == "new_detection__gate_high_quality_frames"
     assert out[6].suggested_id == 1 and out[1].entity_id == 1 and out[13].entity_id == 1
     assert out[8].entity_id is None
