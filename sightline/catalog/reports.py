@@ -191,6 +191,41 @@ def _(spark, sf):
     return page.joined().select("event_id", "entity_id", "device_id", "event_type", iso("timestamp"), "total")
 
 
+# the same queries as records, through the dispatch ---------------------------------------------------
+
+
+def asked(spark, sf, kind, **params):
+    t = queries.Tables(entities(spark, sf), d.sightings(spark, sf), timeline(spark, sf), d.gallery(spark, sf),
+                       registered_devices(spark, sf), d.TASKS)
+    return queries.execute({"query_type": kind, "params": params}, t)
+
+
+@register("entity_search_dispatch", f"""WITH {ENT}, hit AS (SELECT * FROM ent WHERE {SEARCH_SQL})
+SELECT {ENTITY_COLS}, (SELECT count(*) FROM hit) AS total FROM hit
+ORDER BY last_seen_at DESC, entity_id LIMIT 10 OFFSET 10""")
+def _(spark, sf):
+    return entity_view(asked(spark, sf, "entity_search", filters=SEARCH, page=2, page_size=10).joined())
+
+
+@register("timeline_dispatch_second_page", f"""WITH {d.OBS} SELECT frame_no AS event_id, event_type, {isosql('ts', 'timestamp')} FROM obs WHERE entity_id = 11
+ORDER BY ts DESC, frame_no LIMIT 2 OFFSET 2""")
+def _(spark, sf):
+    return asked(spark, sf, "timeline", entity_id=11, limit=2, page=2).items.select("event_id", "event_type", iso("timestamp"))
+
+
+@register("similarity_search_dispatch", f"""WITH {d.GAL}, own AS (SELECT vec FROM gal WHERE entity_id = 7 ORDER BY point_id LIMIT 1)
+SELECT entity_id, round(max(list_cosine_similarity(gal.vec, own.vec)), 4) AS score FROM gal, own WHERE entity_id <> 7 GROUP BY 1
+HAVING max(list_cosine_similarity(gal.vec, own.vec)) >= 0.2 ORDER BY max(list_cosine_similarity(gal.vec, own.vec)) DESC, entity_id LIMIT 5""")
+def _(spark, sf):
+    return asked(spark, sf, "similarity_search", entity_id=7, top_k=5, min_score=0.2).select("entity_id", F.round("score", 4).alias("score"))
+
+
+@register("sighting_aggregation_dispatch", f"""WITH {d.SIGHT}
+SELECT device_id AS bucket, count(*) AS count, sum(duration_seconds) AS total_duration, round(avg(quality_score), 5) AS avg_quality FROM sight GROUP BY 1""")
+def _(spark, sf):
+    return asked(spark, sf, "sighting_aggregation", group_by="device").withColumn("avg_quality", F.round("avg_quality", 5))
+
+
 for _kind, _expr in (("hour", "strftime(started_at, '%Y-%m-%dT%H:00')"), ("day", "strftime(started_at, '%Y-%m-%d')"),
                      ("device", "device_id")):
     @register(f"sighting_aggregation_{_kind}", f"""WITH {d.SIGHT}
@@ -319,3 +354,8 @@ FROM obs GROUP BY 1, 2""")
 def _(spark, sf):
     rows = d.observations(spark, sf).withColumn("kept", F.col("v_score") >= 0.5)
     return reports.throughput(rows).withColumn("window_start", F.date_format("window_start", ISO))
+
+
+@register("device_lookup_dispatch", f"WITH {REG} SELECT device_id, name, location FROM reg WHERE device_id = 'dev2'")
+def _(spark, sf):
+    return asked(spark, sf, "device_lookup", device_id="dev2").select("device_id", "name", "location")

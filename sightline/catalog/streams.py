@@ -78,19 +78,23 @@ def _(spark, sf):
     return spark.read.parquet(f"{where}/out").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-CL = d.OBS + """, cb AS (SELECT frame_no AS box_id, device_id, frame_no // 4 AS frame_no, x1, y1, x2, y2, v_score FROM obs WHERE v_score >= 0.35),
+CL = d.OBS + ", " + d.GAL + """, cb AS (SELECT frame_no AS box_id, device_id, frame_no // 4 AS frame_no, x1, y1, x2, y2, v_score, vec FROM obs
+  LEFT JOIN gal ON point_id = obs.entity_id * 4 + (obs.frame_no // 4) % 8 WHERE v_score >= 0.35),
 cp AS (SELECT a.box_id AS tail, b.box_id AS head, sqrt(((a.x1+a.x2)/2 - (b.x1+b.x2)/2)**2 + ((a.y1+a.y2)/2 - (b.y1+b.y2)/2)**2) / greatest(a.y2-a.y1, b.y2-b.y1, 1.0) AS c,
-  b.frame_no - a.frame_no AS g FROM cb a JOIN cb b ON a.device_id = b.device_id AND b.frame_no - a.frame_no BETWEEN 1 AND 60),
+  b.frame_no - a.frame_no AS g, b.v_score < 0.55 OR coalesce(list_cosine_similarity(a.vec, b.vec) >= 0.62, true) AS alike
+  FROM cb a JOIN cb b ON a.device_id = b.device_id AND b.frame_no - a.frame_no BETWEEN 1 AND 60),
 cm AS (SELECT tail, head FROM (SELECT *, row_number() OVER (PARTITION BY tail ORDER BY c + g / 60, head) AS p, row_number() OVER (PARTITION BY head ORDER BY c + g / 60, tail) AS q
-  FROM cp WHERE c <= 0.95) WHERE p = 1 AND q = 1)"""
+  FROM cp WHERE c <= 0.95 AND alike) WHERE p = 1 AND q = 1)"""
 
 
 @register("untracked_clusters", f"""WITH RECURSIVE {CL}, ch AS (SELECT box_id, box_id AS root FROM cb WHERE box_id NOT IN (SELECT head FROM cm)
   UNION ALL SELECT m.head, ch.root FROM ch JOIN cm m ON m.tail = ch.box_id) SELECT root AS cluster_id, count(*) AS entries FROM ch GROUP BY 1""")
 def _(spark, sf):
-    rows = d.observations(spark, sf).where("v_score >= 0.35").select(
-        F.col("frame_no").alias("box_id"), "device_id", F.floor(F.col("frame_no") / 4).alias("frame_no"), "x1", "y1", "x2", "y2", "v_score",
-        F.lit(None).cast("array<double>").alias("vec"))
+    # every other view is the next entity's, so that links of like and unlike vectors both occur
+    frame = F.floor(F.col("frame_no") / 4)
+    o = d.observations(spark, sf).where("v_score >= 0.35").withColumn("point_id", F.col("entity_id") * 4 + frame % 8)
+    rows = o.join(d.gallery(spark, sf).select("point_id", "vec"), "point_id", "left").select(
+        F.col("frame_no").alias("box_id"), "device_id", frame.alias("frame_no"), "x1", "y1", "x2", "y2", "v_score", "vec")
     return clusters.clustered(rows).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("entries"))
 
 

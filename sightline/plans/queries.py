@@ -113,12 +113,12 @@ def candidates(table: DataFrame, status: str | None = "unconfirmed", device_id:
 
 
 def timeline(events: DataFrame, entity_id: int, start=None, end=None, event_types: Sequence[str] | None = None,
-             limit: int = 50) -> Page:
+             limit: int = 50, page: int = 1) -> Page:
     wanted = [F.col("entity_id") == entity_id, *_between("timestamp", start, end)]
     if event_types:
         wanted.append(F.col("event_type").isin(*event_types))
     hits = events.where(_all(wanted))
-    items = hits.orderBy(F.desc("timestamp"), F.asc("event_id")).limit(limit)
+    items = hits.orderBy(F.desc("timestamp"), F.asc("event_id")).offset((page - 1) * limit).limit(limit)
     return Page(items, hits.agg(F.count(F.lit(1)).alias("total")))
 
 
