@@ -153,10 +153,10 @@ def _(spark, sf):
     return growth(spark, sf).where(similarity.aux_gate()).select("point_id")
 
 
-def grouped_points(spark, sf):
-    """Galleries of up to some dozen points, two kinds."""
+def grouped_points(spark, sf, entities=40):
+    """Galleries of some dozen points and more, two kinds."""
     return d.gallery(spark, sf).select(
-        "point_id", (F.col("entity_id") % 40).alias("entity_id"), F.when(F.col("v") < 3, "main").otherwise("aux").alias("kind"),
+        "point_id", (F.col("entity_id") % entities).alias("entity_id"), F.when(F.col("v") < 3, "main").otherwise("aux").alias("kind"),
         F.timestamp_seconds(F.col("point_id") * 7919 % 100003).alias("added_at"), "is_anchor", "vec")
 
 
@@ -179,9 +179,9 @@ def _(spark, sf):
     return gallery.prune(grouped_points(spark, sf)).select("entity_id", "kind", "point_id")
 
 
-@register("gallery_prune_large_groups", FPS_RESULT)
+@register("gallery_prune_large_groups", FPS_RESULT.replace("entity_id % 40", "entity_id % 3"))
 def _(spark, sf):
-    return gallery.prune(grouped_points(spark, sf), small=20).select("entity_id", "kind", "point_id")
+    return gallery.prune(grouped_points(spark, sf, 3)).select("entity_id", "kind", "point_id")
 
 
 @register("gallery_move_on_merge", f"""WITH {d.GAL} SELECT point_id, CASE WHEN entity_id % 5 = 1 THEN entity_id - 1 ELSE entity_id END AS entity_id,

@@ -1,86 +1,60 @@
 """One vector per tracklet from the vectors of its selected frames.
 
-Input groups hold the frames that selection left, a handful per tracklet.
+Input groups hold the frames that selection left, a handful per tracklet, so a tracklet is one row with an array of frames
+and all rules are expressions over that array.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import DESCRIPTORS, TRACKLETS, Tracklets
 from ..functions import vectors as v
 
 
 def gathered(frames: DataFrame, key: str = "tracklet_id") -> DataFrame:
-    """Frames in order as parallel arrays, vectors laid end to end."""
+    """(key, rows): the frames of each key in order, with vectors and their directions."""
     row = F.struct("frame_no", F.col("v_score").alias("v"), F.col("overlap_ratio").alias("overlap"),
-                   v.as_double(F.col("vec")).alias("vec"))
-    rows = frames.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("r"))
-    return rows.select(key, F.col("r.frame_no").alias("frames"), F.col("r.v").alias("v"),
-                       F.col("r.overlap").alias("overlap"), F.flatten("r.vec").alias("vecs"))
+                   v.as_double(F.col("vec")).alias("vec"), v.l2_normalise(F.col("vec")).alias("unit"))
+    return frames.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
-def weighted_mean(vecs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    mean = (vecs * (weights / (weights.sum() + 1e-8))[:, None]).sum(axis=0)
-    length = np.linalg.norm(mean)
-    return mean / length if length > 1e-8 else mean
+def agreeing(rows: Column, floor: float) -> Column:
+    """The frames within ``floor`` of the frame that has most of them around it, then of the best quality, then the earliest."""
+    around = F.transform(rows, lambda a, i: F.filter(rows, lambda b, j: (i == j) | (v.dot(a["unit"], b["unit"]) >= floor)))
+    quality = lambda near: F.aggregate(near, F.lit(0.0), lambda total, r: total + r["v"])
+    ranked = F.transform(around, lambda near, i: F.struct(
+        F.round(F.size(near) * 10.0 + quality(near), 9).alias("support"), (-i).alias("early"), near.alias("near")))
+    return F.array_max(ranked)["near"]
 
 
-def robust_mean(vecs: np.ndarray, scores: np.ndarray, overlap: np.ndarray, cfg: Tracklets = TRACKLETS) -> np.ndarray:
-    """Visibility-weighted mean: crowded frames are left out when two clear ones
-    remain, then frames unlike the first mean are."""
-    clear = overlap < cfg.max_overlap
-    if 2 <= clear.sum() < len(vecs):
-        vecs, scores, overlap = vecs[clear], scores[clear], overlap[clear]
-    weights = scores * (1.0 - cfg.gamma * overlap)
-    mean = weighted_mean(vecs, weights)
-    if len(vecs) >= 3:
-        alike = vecs @ mean >= cfg.outlier
-        if alike.sum() >= 2:
-            return weighted_mean(vecs[alike], weights[alike])
-    return mean
-
-
-def mean_cosine(vecs: np.ndarray) -> float:
-    """Mean cosine to the mean vector, which is the length of the mean of unit vectors."""
-    if len(vecs) < 2:
-        return 1.0
-    length = float(np.linalg.norm(vecs.mean(axis=0)))
-    return 0.0 if length < 1e-8 else max(0.0, min(1.0, length))
-
-
-def largest_agreement(vecs: np.ndarray, scores: np.ndarray, floor: float) -> np.ndarray:
-    """Members of the largest agreeing neighbourhood; better quality, then the earliest, wins ties."""
-    unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-8)
-    near = (unit @ unit.T >= floor) | np.eye(len(vecs), dtype=bool)
-    support = np.round(near.sum(axis=1) * 10.0 + near @ scores, 9)
-    return np.flatnonzero(near[support.argmax()])
+def direction(rows: Column, gamma: float) -> Column:
+    """Unit vector along the sum of the vectors, each weighted by visibility less overlap."""
+    zero = F.transform(F.get(rows, F.lit(0))["vec"], lambda x: F.lit(0.0))
+    total = F.aggregate(rows, zero, lambda acc, r: F.zip_with(acc, r["vec"], lambda a, x: a + r["v"] * (1.0 - gamma * r["overlap"]) * x))
+    return v.l2_normalise(total)
 
 
 def tracklet_vectors(frames: DataFrame, key: str = "tracklet_id", consensus: float | None = TRACKLETS.consensus,
                      cfg: Tracklets = TRACKLETS) -> DataFrame:
-    """(key, frames used, vec, consistency), from the agreeing frames unless ``consensus`` is None."""
+    """(key, frames used, vec, consistency), from the agreeing frames unless ``consensus`` is None.
+
+    Crowded frames count only if fewer than two clear ones exist; of three or more frames those unlike the mean are left out
+    if two remain. Consistency is the length of the mean of all vectors, from 0 to 1.
+    """
     groups = gathered(frames, key)
-    schema = T.StructType([groups.schema[key], T.StructField("frames", T.ArrayType(T.LongType())),
-                           T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("consistency", T.DoubleType())])
-
-    def build(batches):
-        for pdf in batches:
-            out = []
-            for name, nos, scores, overlap, flat in pdf.itertuples(index=False):
-                vecs = np.asarray(flat).reshape(len(nos), -1)
-                scores, overlap, nos = np.asarray(scores), np.asarray(overlap), np.asarray(nos)
-                if consensus is not None and len(nos) > 1:
-                    use = largest_agreement(vecs, scores, consensus)
-                    vecs, scores, overlap, nos = vecs[use], scores[use], overlap[use], nos[use]
-                out.append((name, nos, robust_mean(vecs, scores, overlap, cfg), mean_cosine(vecs)))
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return groups.mapInPandas(build, schema)
+    if consensus is not None:
+        groups = groups.select(key, agreeing(F.col("rows"), consensus).alias("rows"))
+    clear = F.filter("rows", lambda r: r["overlap"] < cfg.max_overlap)
+    groups = groups.withColumn("used", F.when(F.size(clear) >= 2, clear).otherwise(F.col("rows")))
+    groups = groups.withColumn("first", direction(F.col("used"), cfg.gamma))
+    alike = F.filter("used", lambda r: v.dot(r["vec"], F.col("first")) >= cfg.outlier)
+    groups = groups.withColumn("alike", alike)
+    trimmed = (F.size("used") >= 3) & (F.size("alike") >= 2) & (F.size("alike") < F.size("used"))
+    vec = F.when(trimmed, direction(F.col("alike"), cfg.gamma)).otherwise(F.col("first"))
+    consistency = F.when(F.size("rows") < 2, 1.0).otherwise(F.least(F.lit(1.0), v.norm(v.mean_of(F.col("rows.vec")))))
+    return groups.select(key, F.col("rows.frame_no").cast("array<long>").alias("frames"), vec.alias("vec"), consistency.alias("consistency"))
 
 
 def descriptor(frames: DataFrame, keys: tuple[str, ...], vec: str = "vec", weight: str | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,73 +9,27 @@ from ..config import MATCHING
 from ..functions import vectors as v
 from ..lineage import cut
 
-SMALL = 512
 
+def prune(points: DataFrame, keys: tuple[str, ...] = ("entity_id", "kind"), keep: int = MATCHING.gallery_size) -> DataFrame:
+    """At most ``keep`` points per key, the most diverse ones: the newest, then the point whose nearest kept one is furthest.
 
-def farthest_points(unit: np.ndarray, keep: int) -> list[int]:
-    """Rows oldest to newest; starts from the newest, then always the row least like those taken."""
-    taken = [len(unit) - 1]
-    far = 1.0 - unit @ unit[taken[0]]
-    far[taken[0]] = -1.0
-    while len(taken) < min(keep, len(unit)):
-        nxt = int(far.argmax())
-        if far[nxt] < 0:
-            break
-        taken.append(nxt)
-        open_ = far >= 0
-        far[open_] = np.minimum(far[open_], (1.0 - unit @ unit[nxt])[open_])
-        far[nxt] = -1.0
-    return taken
-
-
-def _prune_small(points: DataFrame, keys: list[str], keep: int) -> DataFrame:
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["added_at", "point_id"], kind="stable")
-        rows = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
-        unit = rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-8)
-        return pdf.iloc[sorted(farthest_points(unit, keep))]
-
-    return points.groupBy(*keys).applyInPandas(pick, points.schema)
-
-
-def _prune_large(points: DataFrame, keys: list[str], keep: int) -> DataFrame:
-    """The same rule for groups too big for one task: each round spreads the row
-    taken last over its group and finds the next with a partial aggregate."""
-    newest = F.struct("added_at", "point_id")
-    unit = F.transform("vec", lambda x: x / (v.norm(F.col("vec")) + 1e-8))
-    state = points.withColumn("_unit", unit).withColumn("_far", F.lit(float("inf")))
-    taken = state.groupBy(*keys).agg(F.max_by(F.struct("point_id", "_unit"), newest).alias("_t"))
-    chosen = taken.select(*keys, "_t.point_id")
-    for _ in range(keep - 1):
-        spread = state.join(taken.select(*keys, F.col("_t.point_id").alias("_id"), F.col("_t._unit").alias("_u")), keys)
-        far = F.when((F.col("_far") < 0) | (F.col("point_id") == F.col("_id")), -1.0).otherwise(
-            F.least("_far", F.lit(1.0) - v.dot(F.col("_unit"), F.col("_u"))))
-        state = cut(spread.withColumn("_far", far).drop("_id", "_u"))
-        # oldest wins ties, as in the small rule
-        oldest = F.struct("_far", (-F.unix_micros("added_at")).alias("a"), (-F.col("point_id")).alias("b"))
-        taken = state.where(F.col("_far") >= 0).groupBy(*keys).agg(
-            F.max_by(F.struct("point_id", "_unit"), oldest).alias("_t"))
-        chosen = cut(chosen.unionByName(taken.select(*keys, "_t.point_id")))
-    return points.join(chosen, [*keys, "point_id"], "left_semi").select(points.columns)
-
-
-def prune(points: DataFrame, keys: tuple[str, ...] = ("entity_id", "kind"), keep: int = MATCHING.gallery_size,
-          small: int = SMALL) -> DataFrame:
-    """At most ``keep`` points per key, the most diverse ones.
-
-    ``point_id`` numeric, ``added_at`` a timestamp. Group sizes are counted first:
-    groups up to ``keep`` pass, small ones are pruned in a task, larger ones by rounds.
+    ``point_id`` numeric, ``added_at`` a timestamp; the oldest wins ties. A round is one partial aggregate, whatever the size
+    of a group; between rounds only the kept points travel, ``keep`` per key at most. Groups that fit pass untouched.
     """
     keys_ = list(keys)
-    sizes = points.groupBy(*keys_).agg(F.count(F.lit(1)).alias("_n"))
-    sized = points.join(sizes, keys_)
-    fits = sized.where(F.col("_n") <= keep).drop("_n").select(points.columns)
-    middle = sized.where((F.col("_n") > keep) & (F.col("_n") <= small)).drop("_n").select(points.columns)
-    out = fits.unionByName(_prune_small(middle, keys_, keep))
-    if not sizes.where(F.col("_n") > small).isEmpty():
-        large = sized.where(F.col("_n") > small).drop("_n").select(points.columns)
-        out = out.unionByName(_prune_large(large, keys_, keep))
-    return out
+    crowded = points.groupBy(*keys_).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > keep).select(*keys_)
+    pool = cut(points.join(crowded, keys_, "left_semi").select(*keys_, "added_at", F.struct("point_id", v.l2_normalise(F.col("vec")).alias("unit")).alias("_p")))
+    kept = cut(pool.groupBy(*keys_).agg(F.array(F.max_by("_p", F.struct("added_at", "_p.point_id"))).alias("_kept")))
+    for _ in range(keep - 1):
+        nearest = F.array_max(F.transform("_kept", lambda k: v.dot(k["unit"], F.col("_p.unit"))))
+        open_ = ~F.array_contains(F.col("_kept.point_id"), F.col("_p.point_id"))
+        rank = F.struct(F.round(1.0 - nearest, 9).alias("far"), (-F.unix_micros("added_at")).alias("age"), (-F.col("_p.point_id")).alias("id"))
+        found = pool.join(kept, keys_).groupBy(*keys_).agg(F.max_by("_p", F.when(open_, rank)).alias("_next"))
+        kept = cut(kept.join(found, keys_, "left").select(
+            *keys_, F.when(F.col("_next").isNull(), F.col("_kept")).otherwise(F.concat("_kept", F.array("_next"))).alias("_kept")))
+    chosen = kept.select(*keys_, F.explode("_kept.point_id").alias("point_id"))
+    fits = points.join(crowded, keys_, "left_anti")
+    return fits.select(points.columns).unionByName(points.join(chosen, [*keys_, "point_id"], "left_semi").select(points.columns))
 
 
 def move_points(points: DataFrame, merges: DataFrame) -> DataFrame:
