@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..config import TRACKLETS
 from ..lineage import ensure_checkpoint_dir
 from ..operators import clusters
 from ..sources import derived as d
@@ -21,50 +22,90 @@ def scratch(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def event_stream(spark, sf):
-    schema = d.table(spark, sf, "events").schema
-    return frames.frame_stream(spark, sf, schema=schema, glob="events.parquet")
+def drained(spark, rows, part, end, start, parts=3):
+    """Feed ``rows`` to a stream in ``parts`` instalments, the last with the message ``end``, each run to the end on the same
+    checkpoint: what ``start(stream, where, state)`` returns is awaited. Gives the folder ``where``."""
+    where = scratch(spark)
+    for i in range(parts):
+        piece = rows.where(part == i)
+        if i == parts - 1 and end is not None:
+            piece = piece.unionByName(end)
+        piece.write.mode("append").parquet(f"{where}/in")
+        start(frames.frame_stream(spark, f"{where}/in", schema=rows.schema), f"{where}/out", f"{where}/state").awaitTermination()
+    return where
+
+
+def instalment(axis, event, late, last, parts=3):
+    """Instalments by ``axis``, 0 to ``last``; every seventh ``event`` comes ``late`` behind its time."""
+    seen = axis + F.when(F.col(event) % 7 == 0, late).otherwise(0)
+    return F.least(F.floor(seen * parts / F.lit(last + 1)), F.lit(parts - 1))
+
+
+FRAME_MS = 40
+#: time of frame 0; a watermark starts at 0 and counts rows at that time as late
+EPOCH_MS = 86_400_000
 
 
 @register("stream_tracklets", """WITH RECURSIVE o AS (SELECT concat('dev', event_id % 4) AS device_id, user_id % 10 AS track_id, event_id AS frame_no FROM events),
 rows_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY device_id, track_id ORDER BY frame_no) AS p FROM o),
-nxt AS MATERIALIZED (SELECT r.device_id, r.track_id, r.frame_no, min(q.frame_no) AS follow FROM rows_ r JOIN (SELECT *, frame_no - lag(frame_no) OVER (PARTITION BY device_id, track_id ORDER BY frame_no) AS step FROM rows_) q
+nxt AS MATERIALIZED (SELECT r.device_id, r.track_id, r.frame_no, min(q.frame_no) AS follow FROM rows_ r LEFT JOIN (SELECT *, frame_no - lag(frame_no) OVER (PARTITION BY device_id, track_id ORDER BY frame_no) AS step FROM rows_) q
   ON q.device_id = r.device_id AND q.track_id = r.track_id AND q.p > r.p AND q.p <= r.p + 60
     AND (q.p = r.p + 60 OR q.step > 150 OR q.p >= r.p + 6 AND q.frame_no > r.frame_no + 90) GROUP BY ALL),
 ch AS (SELECT device_id, track_id, min(frame_no) AS frame_no FROM o GROUP BY ALL
-  UNION ALL SELECT n.device_id, n.track_id, n.follow FROM ch JOIN nxt n USING (device_id, track_id, frame_no))
+  UNION ALL SELECT n.device_id, n.track_id, n.follow FROM ch JOIN nxt n USING (device_id, track_id, frame_no) WHERE n.follow IS NOT NULL)
 SELECT ch.device_id, ch.track_id, ch.frame_no AS frame_start, count(*) AS entry_count, max(o.frame_no) AS frame_end
-FROM ch JOIN nxt n USING (device_id, track_id, frame_no) JOIN o ON o.device_id = ch.device_id AND o.track_id = ch.track_id AND o.frame_no >= ch.frame_no AND o.frame_no < n.follow
+FROM ch JOIN nxt n USING (device_id, track_id, frame_no) JOIN o ON o.device_id = ch.device_id AND o.track_id = ch.track_id AND o.frame_no >= ch.frame_no
+  AND (n.follow IS NULL OR o.frame_no < n.follow)
 GROUP BY ALL""")
 def _(spark, sf):
     cutter.use_state_store(spark)
-    entries = event_stream(spark, sf).select(
+    e = d.table(spark, sf, "events")
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    ms = F.lit(EPOCH_MS) + F.col("event_id") * FRAME_MS
+    entries = e.select(
         F.concat(F.lit("dev"), F.col("event_id") % 4).alias("device_id"), (F.col("user_id") % 10).alias("track_id"), F.col("event_id").alias("frame_no"),
-        (F.col("value") / 100).alias("v_score"), F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("event_ms"))
-    where = scratch(spark)
-    frames.write_stream(cutter.cut_tracklets(entries, silence_ms=10 ** 12), f"{where}/out", f"{where}/state").awaitTermination()
+        (F.col("value") / 100).alias("v_score"), F.timestamp_millis(ms).alias("ts"), ms.alias("event_ms"))
+    # an hour later a message of no track moves the watermark past all silences
+    over = EPOCH_MS + last * FRAME_MS + 3_600_000
+    end = spark.range(1).select(F.lit("end").alias("device_id"), F.lit(-1).cast("long").alias("track_id"), F.lit(-1).cast("long").alias("frame_no"),
+                                F.lit(0.0).alias("v_score"), F.timestamp_millis(F.lit(over)).alias("ts"), F.lit(over).cast("long").alias("event_ms"))
+    silence = (TRACKLETS.stale_frames + 1) * FRAME_MS
+    where = drained(spark, entries, instalment(F.col("frame_no"), "frame_no", 30, last), end,
+                    lambda s, out, state: frames.write_stream(cutter.cut_tracklets(s, silence), out, state))
     return spark.read.parquet(f"{where}/out").select("device_id", "track_id", "frame_start", "frame_end", "entry_count")
 
 
 @register("stream_entity_upsert", """SELECT user_id AS entity_id, count(*) AS sighting_count, arg_max(concat('dev', event_id % 4), ts) AS last_seen_device FROM events GROUP BY 1""")
 def _(spark, sf):
-    e = event_stream(spark, sf).select(
+    e = d.table(spark, sf, "events").select(
         F.col("user_id").alias("entity_id"), F.concat(F.lit("dev"), F.col("event_id") % 4).alias("device_id"), F.col("event_id").alias("tracklet_id"),
         F.col("ts").cast("timestamp").alias("started_at"), F.col("ts").cast("timestamp").alias("ended_at"))
-    where = scratch(spark)
-    e.writeStream.foreachBatch(live.entity_versions(f"{where}/entities")).option("checkpointLocation", f"{where}/state").trigger(
-        availableNow=True).start().awaitTermination()
-    return live.latest_version(spark, f"{where}/entities").select("entity_id", "sighting_count", "last_seen_device")
+    held = f"{scratch(spark)}/entities"
+    runs = []
+
+    def start(stream, _, state):
+        if len(runs) == 2:  # the first two batches are in the base, the third stays a delta
+            live.compact(spark, held, 1)
+        runs.append(state)
+        return stream.writeStream.foreachBatch(live.entity_deltas(held)).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+    drained(spark, e, F.col("tracklet_id") * 5 % 3, None, start)
+    return live.current_entities(spark, held).select("entity_id", "sighting_count", "last_seen_device")
 
 
-@register("stream_windowed_rates", """SELECT concat('dev', event_id % 4) AS device_id, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n FROM events
-WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
+@register("stream_windowed_rates", """SELECT concat('dev', event_id % 4) AS device_id, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL""")
 def _(spark, sf):
-    e = event_stream(spark, sf).select(F.concat(F.lit("dev"), F.col("event_id") % 4).alias("device_id"), F.col("ts").cast("timestamp").alias("ts"))
-    counts = e.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "device_id").count()
-    where = scratch(spark)
-    frames.write_stream(counts, f"{where}/out", f"{where}/state").awaitTermination()
+    e = d.table(spark, sf, "events").select("event_id", F.concat(F.lit("dev"), F.col("event_id") % 4).alias("device_id"), F.col("ts").cast("timestamp").alias("ts"))
+    low, high = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    low, high = low or 0, high or 0
+    # the last window stays open, so the closing message has one of its own
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("device_id"), F.timestamp_seconds(F.lit(high + 3 * 86400)).alias("ts"))
+
+    def start(stream, out, state):
+        counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "device_id").count()
+        return frames.write_stream(counts, out, state)
+
+    where = drained(spark, e, instalment(F.unix_seconds("ts") - low, "event_id", 1800, high - low), end, start)
     return spark.read.parquet(f"{where}/out").select("device_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("count").alias("n"))
 
 

@@ -1,31 +1,43 @@
-"""Keeping engine tables current from a stream: one new table version per batch."""
+"""Keeping engine tables current from a stream: one small delta per batch, folded into a base now and then."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import merge, tables
 
 
-def entity_versions(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch. A batch that is run again overwrites its own version and
-    reads the one before it, so restarts do not count twice."""
+def entity_deltas(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes what a batch adds, not the table. A batch that is run again overwrites its own delta, so
+    restarts do not count twice."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = tables.entity_rows(batch)
-        if batch_id > 0:
-            fresh = tables.upsert_entities(spark.read.parquet(f"{path}/version={batch_id - 1}"), fresh)
-        fresh.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        tables.entity_rows(batch).write.mode("overwrite").parquet(f"{path}/kind=delta/batch={batch_id}")
 
     return write
 
 
-def latest_version(spark, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """The last base and the deltas after it."""
+    parts = spark.read.option("basePath", path).parquet(path)
+    base = parts.where("kind = 'base'").agg(F.coalesce(F.max("batch"), F.lit(-1))).scalar()
+    return parts.where(((F.col("kind") == "base") & (F.col("batch") == base)) | ((F.col("kind") == "delta") & (F.col("batch") > base)))
+
+
+def current_entities(spark: SparkSession, path: str) -> DataFrame:
+    """Base and deltas added up, one aggregate with map-side combine: the same as one upsert after the other."""
+    first, last = F.struct("first_seen_at", "batch"), F.struct("last_seen_at", "batch")
+    return _parts(spark, path).groupBy("entity_id").agg(
+        F.min("first_seen_at").alias("first_seen_at"), F.min_by("first_seen_device", first).alias("first_seen_device"),
+        F.max("last_seen_at").alias("last_seen_at"), F.max_by("last_seen_device", last).alias("last_seen_device"),
+        F.sum("sighting_count").alias("sighting_count"), F.min_by("source", "batch").alias("source"), F.min_by("is_active", "batch").alias("is_active"))
+
+
+def compact(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Fold base and deltas up to the last finished batch, ``batch_id``, into a new base; to be called on a schedule, between batches."""
+    current_entities(spark, path).write.mode("overwrite").parquet(f"{path}/kind=base/batch={batch_id}")
 
 
 def counters(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
