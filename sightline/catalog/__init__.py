@@ -1,6 +1,6 @@
 from . import registry
 
-_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels", "temporal", "resolution", "merging", "tables", "streams")
+_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels", "temporal", "resolution", "merging", "tables", "streams", "sinks")
 
 
 def load() -> tuple[dict, dict]:

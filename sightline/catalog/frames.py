@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import STATIC
 from ..functions import geometry as g
 from ..functions import labels as lb
-from ..operators import chains, ordered, overlap, quality, sampling
+from ..operators import chains, clusters, ordered, overlap, quality, sampling
 from ..plans import reports
 from ..sources import derived as d
 from .geometry import (AREA, ASPECT, CONF, CUTOFF, KEY, RATIO, area_sql, dist_sql, iou_eps_sql, size_sql)
@@ -309,8 +309,7 @@ def _(spark, sf):
 SELECT tracklet_id, n AS known, n >= 100 AS cap_reached FROM trk, n""")
 def _(spark, sf):
     t = d.tracklets(spark, sf)
-    known = t.agg(F.countDistinct("entity_id").alias("n")).scalar()
-    return t.select("tracklet_id", known.alias("known"), (known >= 100).alias("cap_reached"))
+    return quality.identity_cap(t, t, 100).select("tracklet_id", "known", "cap_reached")
 
 
 @register("label_unreliable", f"""WITH {d.TRK} SELECT tracklet_id,
@@ -343,11 +342,9 @@ def _(spark, sf):
   round(max(v_score), 4) AS confidence_max, round(min(overlap_ratio / 3), 4) AS iou_min, round(max(overlap_ratio / 3), 4) AS iou_max
 FROM entries GROUP BY 1""")
 def _(spark, sf):
-    iou = F.col("overlap_ratio") / 3
-    return d.tracklet_entries(spark, sf).groupBy("tracklet_id").agg(
-        F.count(F.lit(1)).alias("entries"), F.round(F.avg("v_score") / 1.3, 4).alias("confidence_avg"),
-        F.round(F.max("v_score"), 4).alias("confidence_max"), F.round(F.min(iou), 4).alias("iou_min"),
-        F.round(F.max(iou), 4).alias("iou_max"))
+    rows = d.tracklet_entries(spark, sf).withColumn("nearest_iou", F.col("overlap_ratio") / 3)
+    stats = clusters.statistics(rows, "tracklet_id", "v_score").withColumn("confidence_avg", F.col("confidence_avg") / 1.3)
+    return stats.select("tracklet_id", "entries", *[F.round(c, 4).alias(c) for c in ("confidence_avg", "confidence_max", "iou_min", "iou_max")])
 
 
 # choosing frames ---------------------------------------------------------------------------------

@@ -60,3 +60,10 @@ def fragments(rows: DataFrame, min_fragments: int = C.fragment_min, min_entries:
         "cluster_id", v.l2_normalise(F.transform("_c", lambda c: c["x"])).alias("vec"))
     sizes = joined.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("fragments"), F.sum("entry_count").alias("entries"))
     return sizes.where((F.col("fragments") >= min_fragments) & (F.col("entries") >= min_entries)).join(vec, "cluster_id")
+
+
+def statistics(entries: DataFrame, key: str = "cluster_id", confidence: str = "confidence", iou: str = "nearest_iou") -> DataFrame:
+    """Mean and top confidence and the span of overlap with the nearest track, per cluster."""
+    return entries.groupBy(key).agg(
+        F.count(F.lit(1)).alias("entries"), F.avg(confidence).alias("confidence_avg"), F.max(confidence).alias("confidence_max"),
+        F.min(iou).alias("iou_min"), F.max(iou).alias("iou_max"))

@@ -185,3 +185,9 @@ def promotion_tier() -> Column:
     slow = (F.col("entry_count") >= c.promote_entries) & (F.col("v_max") >= c.promote_v)
     fast = (F.col("entry_count") >= c.fast_entries) & (F.col("v_max") >= c.fast_v) & (F.col("overall") >= c.fast_overall)
     return F.when(slow, "slow").when(fast, "fast")
+
+
+def identity_cap(rows: DataFrame, known: DataFrame, cap: int) -> DataFrame:
+    """``rows`` with the number of known entities and whether no further one may be made."""
+    n = known.agg(F.countDistinct("entity_id")).scalar()
+    return rows.withColumn("known", n).withColumn("cap_reached", F.col("known") >= cap)

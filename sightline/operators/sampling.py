@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLUSTERS, SAMPLING, TRACKLETS, Sampling, Tracklets
 from ..functions import geometry as g
+from ..lineage import cut
 from . import ordered
 
 
@@ -34,7 +35,7 @@ def stride_sample(scored: DataFrame, cfg: Sampling = SAMPLING) -> DataFrame:
     under the floor neither count nor refresh the key; forced rows do count.
     """
     rows = usable(scored, cfg).withColumn("spatial_key", g.spatial_key(g.box(), F.col("frame_w"), F.col("frame_h")))
-    rows = rows.withColumn("forced", forced(cfg))
+    rows = cut(rows.withColumn("forced", forced(cfg)))  # read for the chunk summaries and for the rows; the overlap join runs once
     keys, order = ["device_id", "spatial_key"], ["frame_no", "det_id"]
     counted = rows.where(F.col("visibility_score") >= cfg.floor)
     placed = ordered.with_sessions(counted, keys, order, cfg.stale_frames, count="count_in_key")

@@ -21,7 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import cut
+
 BLOCK_BYTES = 8 << 20
+#: rows of a block at most: a kernel holds a few arrays of BLOCK_ROWS squared numbers, 34 MB each
+BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
 
 
@@ -113,13 +117,14 @@ def compare(left: DataFrame, right: DataFrame | None, kernel: Kernel, schema: T.
     if not size.n:
         return spark.createDataFrame([], schema)
     total, dim = size.n, size.dim
-    block = block or max(256, BLOCK_BYTES // (8 * dim))
+    block = block or min(BLOCK_ROWS, max(256, BLOCK_BYTES // (8 * dim)))
 
     wanted = 1 if floor is None else int(min(MAX_PIVOTS, max(1, np.sqrt(total / block))))
     pivots = _pivots(base.where(F.col(vec).isNotNull()), vec, id_col, wanted)
-    r_cells = _with_cells(base, id_col, tag_col, vec, pivots)
+    # placed once: the statistics and the blocks read the same rows
+    r_cells = cut(_with_cells(base, id_col, tag_col, vec, pivots))
     r_stats = _cell_stats(r_cells)
-    l_cells = r_cells if mirror else _with_cells(left, id_col, tag_col, vec, pivots)
+    l_cells = r_cells if mirror else cut(_with_cells(left, id_col, tag_col, vec, pivots))
     l_stats = r_stats if mirror else _cell_stats(l_cells)
 
     between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
