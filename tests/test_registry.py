@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ("entity_search", "sighting_aggregation_hour", "global_stats", "device_lookup", "cutoff_score", "box_iou", "visibility_score",
           "stride_sampling", "tracklet_consistency", "spaced_top_k_frames", "adaptive_frame_skip", "gallery_search", "tracklet_label_vote",
           "label_hysteresis", "covisibility_exclusion", "minimum_frame_gap", "closest_transition", "track_ids", "merge_decisions",
-          "candidate_upsert", "stream_tracklets", "untracked_clusters")
+          "candidate_upsert", "stream_tracklets", "untracked_clusters", "appearance_split", "weighted_vector_mean", "vector_consensus")
 
 
 @pytest.fixture(scope="module")

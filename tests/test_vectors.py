@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import similarity, tiles
+from sightline.operators import aggregation, gallery, similarity, tiles
 from sightline.plans import evaluate, resolve
 
 
@@ -81,3 +81,35 @@ def test_cascade_paths(spark):
     assert out[3].source == "provisional_short_tracklet" and out[10].source == "new_detection__gate_high_quality_frames"
     assert out[6].suggested_id == 1 and out[1].entity_id == 1 and out[13].entity_id == 1
     assert out[8].entity_id is None
+
+
+def test_prune_keeps_the_most_diverse_of_a_crowded_key(spark):
+    r = np.random.default_rng(3)
+    vecs = r.normal(size=(120, 6))
+    vecs[50] = vecs[7]  # an exact copy
+    keys = [1 if i % 10 else 2 + i // 60 for i in range(120)]  # one key holds nine in ten rows
+    rows = [(i, keys[i], "main", 1000 + (i * 37) % 120, vecs[i].tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "point_id long, entity_id long, kind string, s long, vec array<double>")
+    df = df.withColumn("added_at", F.timestamp_seconds("s"))
+    got = {(x.entity_id, x.point_id) for x in gallery.prune(df, keep=5).collect()}
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    want = set()
+    for key in set(keys):
+        own = [i for i in range(120) if keys[i] == key]
+        kept = [max(own, key=lambda i: (rows[i][3], i))]
+        while len(kept) < min(5, len(own)):
+            rest = [i for i in own if i not in kept]
+            kept.append(max(rest, key=lambda i: (round(1 - max(unit[i] @ unit[k] for k in kept), 9), -rows[i][3], -i)))
+        want |= {(key, i) for i in kept}
+    assert got == want
+    assert gallery.prune(df.where("false")).count() == 0
+
+
+def test_tracklet_vectors_of_few_frames(spark):
+    cols = "tracklet_id string, frame_no long, v_score double, overlap_ratio double, vec array<double>"
+    rows = [("one", 1, 0.5, 0.9, [3.0, 4.0]), ("crowd", 1, 0.8, 0.0, [1.0, 0.0]), ("crowd", 2, 0.8, 0.1, [1.0, 0.1]),
+            ("crowd", 3, 0.9, 0.6, [0.0, 1.0]), ("zero", 1, 0.7, 0.0, [0.0, 0.0])]
+    got = {r.tracklet_id: r for r in aggregation.tracklet_vectors(spark.createDataFrame(rows, cols)).collect()}
+    assert got["one"].vec == pytest.approx([0.6, 0.8]) and got["one"].consistency == 1.0
+    assert got["crowd"].frames == [1, 2] and got["crowd"].vec[0] > 0.99
+    assert got["zero"].vec == [0.0, 0.0]
