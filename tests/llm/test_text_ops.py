@@ -92,6 +92,27 @@ def test_kneser_ney_sums_to_one_and_prefers_its_own():
     assert h[0].argmin() == 0 and h[1].argmin() == 1
 
 
+def test_kneser_ney_of_all_counts(spark, docs, monkeypatch):
+    """No sequence is lost, those that occur once first of all; Spark gives the model that one process makes of all counts."""
+    monkeypatch.setattr(langid, "MAX_SEQUENCES", 1000, raising=False)  # a bound there once was
+    m = langid.opened(langid.fit(docs, F.lit(True), F.lit(False)))
+    counts = {x: np.unique(langid.sequences([r.text for r in rows])[0], return_counts=True)
+              for x, rows in ((x, docs.filter((F.col("lang") == x) & F.col("text").isNotNull()).collect()) for x in m.langs)}
+    want = langid.build(counts)
+    assert m.langs == want.langs and np.allclose(m.unknown, want.unknown, atol=1e-5)
+    for k in range(langid.ORDER):
+        assert (m.keys[k] == want.keys[k]).all() and np.allclose(m.logp[k], want.logp[k], atol=1e-4)
+        assert k == langid.ORDER - 1 or np.allclose(m.backoff[k], want.backoff[k], atol=1e-4)
+
+
+def test_rows_that_do_not_calibrate_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 2)
+    rows = [(k, f"{a}{b}{a}{b}{a}", "x", None, None, 1, None, None) for k, (a, b) in enumerate(zip("abcdefgh", "mnopqrst"))]
+    m = langid.opened(langid.fit(spark.createDataFrame(rows, DOCS), F.col("doc_id") < 0, F.lit(True)))
+    letters = {chr(c) for c in m.keys[0] if c != langid.SPACE}
+    assert len(letters) == 12
+
+
 def test_language_held_out_accuracy(spark, docs):
     rows = queries.op3(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
