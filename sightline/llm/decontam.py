@@ -1,8 +1,9 @@
 """Benchmark passages in documents, found by templates.
 
 Words are canonicalised: numbers, units after numbers and names become typed placeholders, other words their bare lower-case
-form. Windows of templates are joined by hash. A match is checked where the benchmark item lies in the document: the values in
-its slots must map one to one, so a question asked with other numbers or names is caught and a chance template is not.
+form. Windows of templates are joined by hash, and so are windows of the bare words, which find copies whatever their capitals
+and numbers. A match is checked where the benchmark item lies in the document: the values in its slots must map one to one, so
+a question asked with other numbers or names is caught and a chance template is not.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .substring import window_hashes
+from .substring import mix, window_hashes
 from .text import map_slices, raw
 
 WINDOW = 8
@@ -62,9 +63,9 @@ KINDS = ("", "number", "unit", "name")
 HOLDERS = np.array([0] + [xxhash.xxh64_intdigest(f"<{k}>") for k in KINDS[1:]], np.uint64)
 
 
-def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Of all words that aren't bare punctuation: template hashes, kinds (0: no placeholder), numbers into the list of bare words;
-    that list; and the words of each text."""
+    that list; the words of each text; hashes of the bare words, and which words are names only because no sentence end is before them."""
     seen = _Words()
     ids, sizes = [], []
     for t in texts:
@@ -73,7 +74,7 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
         sizes.append(len(words))
     at = np.concatenate(ids) if ids else np.empty(0, np.int64)
     if not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.int8), at, [], np.array(sizes, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int8), at, [], np.array(sizes, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
     column = [np.array([r[j] for r in seen.rows], np.uint64 if j == 0 else bool)[at] for j in range(7)]
     owner = np.repeat(np.arange(len(texts)), sizes)
     starts = np.append(True, (owner[1:] != owner[:-1]) | column[2][:-1])
@@ -82,28 +83,38 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
     begin = starts[some]
     after_number = np.append(False, number[:-1])
     kind = np.where(number, 1, np.where(unit & after_number, 2, np.where(name | (title & ~begin), 3, 0))).astype(np.int8)
-    hashes = np.where(kind > 0, HOLDERS[kind], hashes)
-    return hashes, kind, at[some], seen.bare, np.bincount(owner[some], minlength=len(texts))
+    held = np.where(kind > 0, HOLDERS[kind], hashes)
+    return held, kind, at[some], seen.bare, np.bincount(owner[some], minlength=len(texts)), hashes, (kind == 3) & ~name
 
 
 def _found(texts: list[bytes], lengths: list[int], wanted: np.ndarray | None) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(text, place, hash, slots) of the windows of each length whose hash the filter may have; slots are ``kind:value``."""
-    hashes, kind, word, bare, counts = templates(texts)
+    """(text, place, hash, slots) of the windows of each length whose hash the filter may have; slots are ``kind:value``. A window is read as
+    a template, as one whose first word starts a sentence, and as bare words without slots; equal readings come once."""
+    hashes, kind, word, bare, counts, plain, unclear = templates(texts)
     before = np.cumsum(counts) - counts
     owner = np.repeat(np.arange(len(texts)), counts)
     literal = np.append(0, np.cumsum(kind == 0))
     for n in lengths:
         if len(hashes) < n:
             continue
-        found, starts = window_hashes(hashes, counts, n, MULTIPLIER + 2 * n)
-        good = literal[starts + n] - literal[starts] >= MIN_LITERAL * n
-        if wanted is not None:
-            bit = found >> np.uint64(64 - FILTER_BITS)
-            good &= (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        for i in np.flatnonzero(good).tolist():
-            s = int(starts[i])
-            slots = [f"{KINDS[kind[j]]}:{bare[word[j]]}" for j in range(s, s + n) if kind[j]]
-            yield int(owner[s]), s - int(before[owner[s]]), int(found[i].view(np.int64)), slots
+        multiplier = MULTIPLIER + 2 * n
+        found, starts = window_hashes(hashes, counts, n, multiplier)
+        literals = literal[starts + n] - literal[starts]
+        first = starts[unclear[starts]]
+        total = plain[first]
+        for j in range(1, n):
+            total = total * np.uint64(multiplier) + hashes[first + j]
+        readings = ((found, starts, literals >= MIN_LITERAL * n, 0),
+                    (mix(total), first, literal[first + n] - literal[first] + 1 >= MIN_LITERAL * n, 1),
+                    (window_hashes(plain, counts, n, multiplier)[0], starts, literals < n, n))
+        for found, starts, good, skipped in readings:
+            if wanted is not None:
+                bit = found >> np.uint64(64 - FILTER_BITS)
+                good &= (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for i in np.flatnonzero(good).tolist():
+                s = int(starts[i])
+                slots = [f"{KINDS[kind[j]]}:{bare[word[j]]}" for j in range(s + skipped, s + n) if kind[j]]
+                yield int(owner[s]), s - int(before[owner[s]]), int(found[i].view(np.int64)), slots
 
 
 def _windows(rows: DataFrame, lengths: list[int], wanted=None) -> DataFrame:
@@ -161,8 +172,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, contaminated, item_ids sorted, n_changed, max_cover) for each row of ``docs``.
 
-    Null texts and texts without a word hold nothing; null ids keep their rows; rows alike get the same answer. Items that are null, empty
-    or mostly placeholders match nothing. Items of fewer than ``window`` words must be there whole. Other columns are ignored.
+    Null texts and texts without a word hold nothing; null ids keep their rows; rows alike get the same answer. Items that are null or empty
+    match nothing; those that are mostly placeholders match copies only. Items of fewer than ``window`` words must be there whole. Other columns are ignored.
     """
     found = matches(docs, benchmark, id_col, text_col, **options)
     each = found.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.sum(F.col("changed").cast("int")).cast("int").alias("n_changed"),

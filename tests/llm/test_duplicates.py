@@ -187,6 +187,14 @@ def test_decontamination_by_templates(spark):
     assert left.columns[:2] == ["doc_id", "text"] and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6]
 
 
+def test_decontamination_finds_copies_whatever_their_capitals_and_numbers(spark):
+    item, digits, names = "What is the long river of all France", "12 7 19 4 4 8 15 16 23 42", "Berlin and Madrid are both older than Oslo and Bergen are but younger than Rome"
+    bench = spark.createDataFrame([(1, item), (2, digits), (3, names)], "item_id long, text string")
+    rows = [(1, f"Quiz 3 \n{item}"), (2, f"he asked, {item} and left"), (3, f"so {digits} it is"), (4, names.lower()), (5, f"Quiz 3 \n{item}".replace("France", "Spain")), (6, "12 7 19 4 4 8 15 16 99 42 1 2")]
+    got = {r.doc_id: r.item_ids for r in decontam.flag(frame(spark, rows), bench).filter("contaminated").collect()}
+    assert got == {1: [1], 2: [1], 3: [2], 4: [3], 5: [1], 6: [2]}
+
+
 def test_decontamination_finds_all_whole_passages(spark):
     got = {r.doc_id: set(r.item_ids) for r in queries.op6(spark, SF).collect() if r.contaminated}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
