@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .substring import mix, window_hashes
@@ -23,8 +23,11 @@ from .text import map_slices, raw
 WINDOW = 8
 #: of the words in a window, so many at least are no placeholders
 MIN_LITERAL = 0.5
-#: share of an item's words that matched windows must cover
+#: share of an item's words that matched windows must cover, of WINDOW words or the whole item at least; so many in a row are enough
 MIN_COVER = 0.5
+MIN_RUN = 13
+#: shortest window of items that are longer than a window
+SHORTEST = 4
 #: bits of the filter that documents' windows pass before the join; a fixed size, whatever the benchmark
 FILTER_BITS = 25
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -87,8 +90,8 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
     return held, kind, at[some], seen.bare, np.bincount(owner[some], minlength=len(texts)), hashes, (kind == 3) & ~name
 
 
-def _found(texts: list[bytes], lengths: list[int], wanted: np.ndarray | None) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(text, place, hash, slots) of the windows of each length whose hash the filter may have; slots are ``kind:value``. A window is read as
+def _found(texts: list[bytes], lengths: list[int], wanted: np.ndarray | None) -> Iterator[tuple[int, int, int, list[str], int]]:
+    """(text, place, hash, slots, length) of the windows of each length whose hash the filter may have; slots are ``kind:value``. A window is read as
     a template, as one whose first word starts a sentence, and as bare words without slots; equal readings come once."""
     hashes, kind, word, bare, counts, plain, unclear = templates(texts)
     before = np.cumsum(counts) - counts
@@ -114,19 +117,20 @@ def _found(texts: list[bytes], lengths: list[int], wanted: np.ndarray | None) ->
             for i in np.flatnonzero(good).tolist():
                 s = int(starts[i])
                 slots = [f"{KINDS[kind[j]]}:{bare[word[j]]}" for j in range(s + skipped, s + n) if kind[j]]
-                yield int(owner[s]), s - int(before[owner[s]]), int(found[i].view(np.int64)), slots
+                yield int(owner[s]), s - int(before[owner[s]]), int(found[i].view(np.int64)), slots, n
 
 
 def _windows(rows: DataFrame, lengths: list[int], wanted=None) -> DataFrame:
-    """(_key, place, hash, slots) of ``rows`` (_key, text); ``wanted`` is a broadcast filter."""
+    """(_key, place, hash, slots, length) of ``rows`` (_key, text); ``wanted`` is a broadcast filter."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         got = list(_found(raw(part, "text"), lengths, wanted and wanted.value))
         owner = pa.array([g[0] for g in got], pa.int64())
         return pa.RecordBatch.from_arrays([part.column("_key").take(owner), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int64()),
-                                           pa.array([g[3] for g in got], pa.list_(pa.string()))], ["_key", "place", "hash", "slots"])
+                                           pa.array([g[3] for g in got], pa.list_(pa.string())), pa.array([g[4] for g in got], pa.int32())],
+                                          ["_key", "place", "hash", "slots", "length"])
 
-    return map_slices(rows, make, f"_key {rows.schema['_key'].dataType.simpleString()}, place int, hash long, slots array<string>")
+    return map_slices(rows, make, f"_key {rows.schema['_key'].dataType.simpleString()}, place int, hash long, slots array<string>, length int")
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
@@ -148,23 +152,38 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         return pa.RecordBatch.from_arrays([part.column("_key"), pa.array(templates(raw(part, "text"))[4], pa.int64())], ["_key", "size"])
 
     size = map_slices(items, sizes, f"_key {items.schema['_key'].dataType.simpleString()}, size long").groupBy("_key").agg(F.max("size").alias("size")).filter("size > 0")
-    lengths = sorted(r[0] for r in size.select(F.least("size", F.lit(window)).cast("int")).distinct().collect())  # ``window`` values at most
-    wanted_windows = _windows(items, lengths).join(size, "_key")
+    # an item of up to twice ``window`` words has shorter windows, so that a changed word in its middle spares some
+    short = F.greatest(F.col("size") - window, F.least(F.lit(SHORTEST), F.lit(window)))
+    size = size.withColumn("width", F.least("size", F.when(F.col("size") <= window, F.col("size")).otherwise(short), F.lit(window)).cast("int"))
+    lengths = sorted(r[0] for r in size.select("width").distinct().collect())  # ``window`` values at most
+    wanted_windows = _windows(items, lengths).join(size, "_key").filter(F.col("length") == F.col("width"))
     shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted_windows))
     rows = docs.select(F.struct(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text")).alias("_key"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("text").isNotNull())
 
     found = _windows(rows, lengths, shared)
-    both = found.join(wanted_windows.select(F.col("_key").alias("item"), F.col("place").alias("own_place"), "hash", F.col("slots").alias("own_slots"), "size"), "hash")
-    pairs = F.transform(F.arrays_zip("own_slots", "slots"), lambda s: F.struct(s["own_slots"].alias("a"), s["slots"].alias("b")))
-    placed = (both.groupBy("_key", "item", "size", (F.col("place") - F.col("own_place")).alias("shift"))
-              .agg(F.collect_set("own_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")))
-    width = F.least("size", F.lit(window))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p.cast("long"), p + width - 1)))))
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.a"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.b"))) == F.size("pairs"))
-    changed = F.exists("pairs", lambda s: s["a"] != s["b"])
-    good = placed.select("_key", "item", (covered / F.col("size")).alias("cover"), changed.alias("changed"), one_to_one.alias("consistent")).filter(
-        F.col("consistent") & (F.col("cover") >= min_cover))
+    own = wanted_windows.select(F.col("_key").alias("item"), F.col("place").alias("own_place"), "hash", F.col("slots").alias("own_slots"), "size", "width")
+    both = found.join(own, "hash").filter((F.col("length") == F.col("width")) & (F.size("slots") == F.size("own_slots")))
+    zipped = F.array_distinct(F.transform(F.arrays_zip("own_slots", "slots"), lambda s: F.struct(s["own_slots"].alias("a"), s["slots"].alias("b"))))
+
+    def one_to_one(pairs: str) -> Column:
+        return (F.size(F.array_distinct(F.col(f"{pairs}.a"))) == F.size(pairs)) & (F.size(F.array_distinct(F.col(f"{pairs}.b"))) == F.size(pairs))
+
+    # equal numbers may stand for different things: they are judged by window; a name is the same one in the whole alignment
+    both = both.withColumn("pairs", zipped).filter(one_to_one("pairs")).withColumn("names", F.filter("pairs", lambda s: ~s["a"].startswith("number:")))
+    placed = (both.groupBy("_key", "item", "size", "width", (F.col("place") - F.col("own_place")).alias("shift"))
+              .agg(F.collect_set("own_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("names"),
+                   F.max(F.exists("pairs", lambda s: s["a"] != s["b"])).alias("changed"))
+              .filter(one_to_one("names")))
+    # inserted and deleted words move the rest of an item: covers of neighbouring alignments are added up
+    order = Window.partitionBy("_key", "item", "size", "width").orderBy("shift")
+    apart = F.coalesce((F.col("shift") - F.lag("shift").over(order) > window).cast("int"), F.lit(0))
+    near = placed.withColumn("apart", apart).withColumn("group", F.sum("apart").over(order))
+    words = F.sort_array(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("places")), lambda p: F.sequence(p.cast("long"), p + F.col("width") - 1)))))
+    added = near.groupBy("_key", "item", "size", "width", "group").agg(words.alias("words"), F.max("changed").alias("changed"))
+    n = F.size("words")
+    run = (n >= MIN_RUN) & F.exists(F.sequence(F.lit(1), F.greatest(n - MIN_RUN + 1, F.lit(1))), lambda i: F.try_element_at("words", i + MIN_RUN - 1) - F.element_at("words", i) == MIN_RUN - 1)
+    good = added.filter((n >= F.least("size", F.lit(window))) & ((n / F.col("size") >= min_cover) | run)).select("_key", "item", (n / F.col("size")).alias("cover"), "changed")
     best = good.groupBy("_key", "item").agg(F.max(F.struct("cover", (~F.col("changed")).alias("same"))).alias("best"))
     return best.select("_key._id", "_key._text", "item", "best.cover", (~F.col("best.same")).alias("changed"))
 
@@ -173,7 +192,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """(id, contaminated, item_ids sorted, n_changed, max_cover) for each row of ``docs``.
 
     Null texts and texts without a word hold nothing; null ids keep their rows; rows alike get the same answer. Items that are null or empty
-    match nothing; those that are mostly placeholders match copies only. Items of fewer than ``window`` words must be there whole. Other columns are ignored.
+    match nothing; those that are mostly placeholders match copies only. Items of up to ``window`` words must be there whole; of longer ones MIN_COVER or MIN_RUN words in a row are enough. Other columns are ignored.
     """
     found = matches(docs, benchmark, id_col, text_col, **options)
     each = found.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.sum(F.col("changed").cast("int")).cast("int").alias("n_changed"),

@@ -195,6 +195,17 @@ def test_decontamination_finds_copies_whatever_their_capitals_and_numbers(spark)
     assert got == {1: [1], 2: [1], 3: [2], 4: [3], 5: [1], 6: [2]}
 
 
+def test_decontamination_finds_quotes_and_near_copies(spark):
+    long, mid, short = words(200).split(), words(30, "m").split(), words(14, "s").split()
+    sums = "he has 2 friends who each sent him some old paper by mail with 2 dollars in the end of that year"
+    bench = spark.createDataFrame([(k, t if isinstance(t, str) else " ".join(t)) for k, t in enumerate((long, mid, short, sums))], "item_id int, text string")
+    rows = [(1, " ".join(long[50:110])), (2, " ".join([*mid[:10], "new", *mid[10:20], "other", *mid[20:]])), (3, " ".join([*short[:7], "new", *short[8:]])),
+            (4, sums.replace("2 friends", "4 friends").replace("2 dollars", "6 dollars")), (5, " ".join(long[:12])), (6, " ".join(short[:7])),
+            (7, " ".join([*mid[:10], *mid[20:24]]))]
+    got = {r.doc_id: r.item_ids for r in decontam.flag(frame(spark, rows), bench).filter("contaminated").collect()}
+    assert got == {1: [0], 2: [1], 3: [2], 4: [3]}
+
+
 def test_decontamination_finds_all_whole_passages(spark):
     got = {r.doc_id: set(r.item_ids) for r in queries.op6(spark, SF).collect() if r.contaminated}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
