@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the SQL of those that SQL can express."""
+"""The queries op1 to op13 and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import ensure_checkpoint_dir
-from . import bpe, decontam, langid, lines, pii, quality, rollup, simhash, substring, toxicity
+from . import bpe, decontam, langid, licenses, lines, pii, quality, repair, rollup, simhash, substring, toxicity, trie
 from .text import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,86 @@ def tokens(docs: DataFrame) -> DataFrame:
     out = bpe.decode(bpe.encode(docs, path), path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: crc32 of the text ``s`` in DuckDB, bit by bit
+CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(s, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b:
+    list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _edit(x: str, cost: str, letters: str) -> str:
+    """A state of the walk below, nine digits of cost and the audit, after one more edit."""
+    return f"CASE WHEN {x} = '~' THEN '~' ELSE lpad((left({x}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || {x}[10:] || '{letters}' END"
+
+
+@query("op11_conversation_repair", rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                                coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+hurt AS (SELECT conv_id, turn, role, text, {CRC32} % 20 AS x FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role,
+                   CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM hurt, unnest(range(CASE WHEN x = 3 THEN 2 ELSE 1 END)) WHERE x <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS k,
+                  rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail FROM damaged),
+seen AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS nth FROM placed),
+faults AS (SELECT *, CASE WHEN tail = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM seen),
+counts AS (SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                  count(*) FILTER (before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+-- cost in 9 digits and audit of the cheapest edits after k rows: nothing kept, an s, an open u, whole pairs; '~' is none
+walk AS (SELECT conv_id, 0::BIGINT AS k, '000000000' AS z, '~' AS h, '~' AS u, '~' AS p FROM counts
+  UNION ALL
+  SELECT conv_id, k,
+         {_edit('z1', '2', 'D')}, least({_edit('h1', '2', 'D')}, CASE WHEN ok AND r = 's' THEN {_edit('z1', 'extra', 'K')} ELSE '~' END),
+         least({_edit('u1', '2', 'D')}, CASE WHEN ok THEN {_edit('o1', 'extra + 1', 'R')} ELSE '~' END, CASE WHEN ok AND r = 'u' THEN {_edit('o1', 'extra', 'K')} ELSE '~' END),
+         least({_edit('p1', '2', 'D')}, CASE WHEN ok THEN {_edit('u1', 'extra + 1', 'R')} ELSE '~' END, CASE WHEN ok AND r = 'a' THEN {_edit('u1', 'extra', 'K')} ELSE '~' END)
+  FROM (SELECT *, least(z1, h1, p1) AS o1 FROM (
+          SELECT w.conv_id, f.k, left(f.role, 1) AS r, f.fault IN ('t', '-') AS ok, CASE f.fault WHEN 't' THEN 5 ELSE 0 END AS extra,
+                 z AS z1, h AS h1, least(u, {_edit('z', '5', 'I')}, {_edit('h', '5', 'I')}, {_edit('p', '5', 'I')}) AS u1, least(p, {_edit('u', '5', 'I')}, {_edit('z', '10', 'II')}, {_edit('h', '10', 'II')}) AS p1
+          FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k + 1))),
+best AS (SELECT c.*, least(z, p, {_edit('u', '5', 'I')}, {_edit('h', '10', 'II')}) AS b FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.k),
+plans AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, left(b, 9)::BIGINT AS cost, b[10:] AS audit FROM best),
+edits AS (SELECT conv_id, e, pos, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS k
+          FROM (SELECT conv_id, unnest(string_split(audit, '')) AS e, unnest(range(length(audit))) AS pos FROM plans WHERE audit <> '')),
+kept AS (SELECT e.conv_id, e.e, e.pos, f.role, CASE WHEN e.e = 'I' THEN '' ELSE f.text END AS text, row_number() OVER (PARTITION BY e.conv_id ORDER BY pos) AS q
+         FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.k = e.k WHERE e.e <> 'D'),
+headed AS (SELECT *, max(CASE WHEN q = 1 AND e = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS head FROM kept),
+texts AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (q - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS t
+          FROM headed GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM o.conv_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return repair.report(rows, repair.damage(rows))
+
+
+@query("op12_prefix_trie", rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)),
+rebuilt AS (SELECT c.conv_id, 0 AS part, t.k, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.k <= c.h
+            UNION ALL SELECT c.conv_id, 1, t.k, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+steps AS (SELECT conv_id, row_number() OVER o AS depth, text, string_agg(md5(length(role) || ':' || role || text), '') OVER o AS path
+          FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY part, k)),
+every AS (SELECT conv_id, depth, text, path FROM steps UNION ALL SELECT conv_id, 0, '', '' FROM c),
+sizes AS (SELECT conv_id, max(depth) AS d FROM every GROUP BY conv_id),
+nodes AS (SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(text) AS text,
+                 string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = d) AS ends FROM every JOIN sizes USING (conv_id) GROUP BY path),
+own AS (SELECT n.*, p.conv_id AS parent_conv_id, (n.n_convs - 1) * len(regexp_extract_all(n.text, '[^\x20\x09-\x0D]+')) AS saved FROM nodes n
+        LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1))),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT left(path, 32 * up) AS path, sum(saved) AS saved, count(*) FILTER (NOT inner_node) AS leaves
+          FROM (SELECT o.path, o.saved, k.path IS NOT NULL AS inner_node, unnest(range(o.depth + 1)) AS up FROM own o LEFT JOIN kids k USING (path)) GROUP BY ALL)
+SELECT o.conv_id, o.depth::BIGINT AS depth, o.parent_conv_id, o.n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM own o JOIN below b USING (path) LEFT JOIN kids k USING (path)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_license_scans")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(read(spark, sf_dir, "documents"), ["doc_id"])).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
