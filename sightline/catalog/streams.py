@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..config import TRACKLETS
 from ..lineage import ensure_checkpoint_dir
-from ..operators import clusters
+from ..operators import clusters, live, tracks
 from ..sources import derived as d
 from ..sources import frames
-from ..streaming import tables as live
+from ..streaming import live as live_stream
+from ..streaming import tables as stored
 from ..streaming import tracklets as cutter
 from .registry import register
 
@@ -85,12 +86,12 @@ def _(spark, sf):
 
     def start(stream, _, state):
         if len(runs) == 2:  # the first two batches are in the base, the third stays a delta
-            live.compact(spark, held, 1)
+            stored.compact(spark, held, 1)
         runs.append(state)
-        return stream.writeStream.foreachBatch(live.entity_deltas(held)).option("checkpointLocation", state).trigger(availableNow=True).start()
+        return stream.writeStream.foreachBatch(stored.entity_deltas(held)).option("checkpointLocation", state).trigger(availableNow=True).start()
 
     drained(spark, e, F.col("tracklet_id") * 5 % 3, None, start)
-    return live.current_entities(spark, held).select("entity_id", "sighting_count", "last_seen_device")
+    return stored.current_entities(spark, held).select("entity_id", "sighting_count", "last_seen_device")
 
 
 @register("stream_windowed_rates", """SELECT concat('dev', event_id % 4) AS device_id, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL""")
@@ -145,3 +146,46 @@ def _(spark, sf):
     rows = o.join(d.gallery(spark, sf).select("point_id", "vec"), "point_id").select(
         F.col("frame_no").alias("box_id"), "device_id", "frame_no", "x1", "y1", "x2", "y2", "v_score", "vec", (F.col("frame_no") % 3 + 1).alias("entry_count"))
     return clusters.fragments(rows).select("cluster_id", "fragments", "entries")
+
+
+def live_boxes(spark, sf):
+    """Ten boxes a frame and device: twelve movers whose scores and ways vary, some of them twice in a frame."""
+    e = d.table(spark, sf, "events")
+    mover, frame = F.col("user_id") % 12, F.floor(F.col("event_id") / 40)
+    x = (mover * 157) % 1500 + frame % 50 * (mover % 5 + 1) + F.col("event_id") % 3
+    y = (mover * 83) % 700 + frame % 40 * (mover % 3)
+    return e.select(
+        F.concat(F.lit("dev"), F.col("event_id") % 4).alias("device_id"), frame.alias("frame_no"), F.col("event_id").alias("box_id"),
+        (F.lit(0.35) + (F.col("event_id") * 7919) % 65 / 100).alias("score"), x.cast("double").alias("x1"), y.cast("double").alias("y1"),
+        (x + 60).cast("double").alias("x2"), (y + 150).cast("double").alias("y2"))
+
+
+LIVE = ("device_id", "event", "track_id", "box_id", "frame_no", "first_frame", "hits", "closed_by")
+
+
+@register("live_tracks")
+def _(spark, sf):
+    return live.keep(live_boxes(spark, sf)).select(*LIVE)
+
+
+@register("stream_live_tracks")
+def _(spark, sf):
+    cutter.use_state_store(spark)
+    ms = F.lit(EPOCH_MS) + F.col("frame_no") * FRAME_MS
+    boxes = live_boxes(spark, sf).withColumn("event_ms", ms.cast("long")).withColumn("ts", F.timestamp_millis(ms.cast("long")))
+    last = boxes.agg(F.max("frame_no")).first()[0] or 0
+    over = EPOCH_MS + last * FRAME_MS
+
+    def message(device, at):
+        zero = [F.lit(0.0).alias(c) for c in ("score", "x1", "y1", "x2", "y2")]
+        return spark.range(1).select(F.lit(device).alias("device_id"), F.lit(live.END_FRAME).cast("long").alias("frame_no"), F.lit(-1).cast("long").alias("box_id"), *zero,
+                                     F.lit(at).cast("long").alias("event_ms"), F.timestamp_millis(F.lit(at).cast("long")).alias("ts"))
+
+    # every device says that it ends; an hour later a message of none moves the watermark past all of them
+    end = message("none", over + 3_600_000)
+    for k in range(4):
+        end = end.unionByName(message(f"dev{k}", over + 1))
+    silence = (tracks.BUFFER + 1) * FRAME_MS
+    where = drained(spark, boxes, instalment(F.col("frame_no"), "box_id", 2, last), end,
+                    lambda s, out, state: frames.write_stream(live_stream.keep_tracks(s, silence), out, state))
+    return spark.read.parquet(f"{where}/out").select(*LIVE)

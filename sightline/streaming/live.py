@@ -1,0 +1,86 @@
+"""Live tracks of a stream: the fold of the batch operator, kept in state per device.
+
+Boxes wait until the watermark has passed them and are then taken frame by frame, so late rows inside the watermark and batch borders
+change nothing. Tracks age by frames; an end-of-stream message (frame -1), or silence for longer than any lost track is kept,
+closes whatever is open, so no state stays behind a device that has gone. All boxes of a frame carry the frame's time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators import live
+
+WAITING = "event_ms long, frame_no long, box_id long, score double, x1 double, y1 double, x2 double, y2 double"
+
+
+class TrackKeeper(StatefulProcessor):
+    def __init__(self, silence_ms: int, buffer: int) -> None:
+        self.silence_ms, self.buffer = silence_ms, buffer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tracks = handle.getListState("tracks", live.TRACK)
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.clock = handle.getValueState("clock", "last_frame long, last_ms long")
+
+    def _wake(self, waiting: list[tuple], last_ms: int | None) -> None:
+        """One timer: the earliest waiting row or, while tracks are open, the end of silence."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        due = [w[0] for w in waiting] + ([last_ms + self.silence_ms] if last_ms is not None else [])
+        if due:
+            self.handle.registerTimer(min(due))
+
+    def _open_until(self) -> int | None:
+        return int(self.clock.get()[1]) if self.clock.exists() and self.tracks.exists() else None
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            self.waiting.appendList([(int(m), int(f), int(b), *map(float, box)) for m, f, b, *box in part[
+                ["event_ms", "frame_no", "box_id", "score", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)])
+        self._wake(list(self.waiting.get()), self._open_until())
+        yield pd.DataFrame([], columns=live.FIELDS)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        last_frame, last_ms = map(int, self.clock.get()) if self.clock.exists() else (None, None)
+        keeper = live.Keeper(key[0], (live.Track(*t) for t in self.tracks.get()) if self.tracks.exists() else (), last_frame, self.buffer)
+        frames: dict[tuple[int, bool, int], list[live.Box]] = {}
+        for ms, frame, *box in held:
+            if ms <= now:
+                frames.setdefault((ms, frame == live.END_FRAME, frame), []).append(live.Box(*box))
+        for (ms, ended, frame), boxes in sorted(frames.items()):
+            if keeper.tracks and last_ms is not None and ms > last_ms + self.silence_ms:
+                keeper.end("silence")
+            if ended:
+                keeper.end("end")
+            else:
+                keeper.frame(frame, boxes)
+            last_ms = ms
+        if keeper.tracks and last_ms is not None and last_ms + self.silence_ms <= now:
+            keeper.end("silence")
+        later = [w for w in held if w[0] > now]
+        for state, rows in ((self.waiting, later), (self.tracks, [tuple(t) for t in keeper.tracks])):
+            state.clear()
+            if rows:
+                state.put(rows)
+        if keeper.last_frame is not None:
+            self.clock.update((keeper.last_frame, last_ms))
+        self._wake(later, last_ms if keeper.tracks else None)
+        yield keeper.taken()
+
+    def close(self) -> None:
+        pass
+
+
+def keep_tracks(boxes: DataFrame, silence_ms: int, buffer: int = live.BUFFER, watermark: str = "10 seconds") -> DataFrame:
+    """Streaming boxes (device_id, frame_no, box_id, score, x1, y1, x2, y2, ts, event_ms) to rows as of the batch operator."""
+    return boxes.withWatermark("ts", watermark).groupBy("device_id").transformWithStateInPandas(
+        statefulProcessor=TrackKeeper(silence_ms, buffer), outputStructType=live.OUTPUT, outputMode="Append", timeMode="EventTime")
