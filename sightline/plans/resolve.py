@@ -82,13 +82,13 @@ def new_identity_gate() -> Column:
 
 
 def with_scores(tracklets: DataFrame, gallery: DataFrame, aux: DataFrame | None = None, exclusions: DataFrame | None = None,
-                block: int | None = None) -> DataFrame:
-    """Every score the cascade reads, one row per tracklet.
+                block: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Every score the cascade reads, one row per tracklet; ``pairs`` are point scores that were searched before.
 
     Tracklets carry tracklet_id (long), track_id, vec, v_avg, vector_consistency,
     entry_count, quality_frames, max_overlap, current_id, hint_id.
     """
-    scored = point_scores(tracklets, gallery, block=block)
+    scored = point_scores(tracklets, gallery, block=block) if pairs is None else pairs
     keep = tracklets.select("tracklet_id", "current_id", low_visibility().alias("_low"))
     scored = scored.join(keep, "tracklet_id")
     flags = ("forbidden", "recent", "blocked", "duplicate")
@@ -297,6 +297,45 @@ def one_per_frame(decided: DataFrame) -> DataFrame:
     return matched.unionByName(decided.where(F.col("entity_id").isNull()))
 
 
+def decide(tracklets: DataFrame, gallery: DataFrame, aux: DataFrame | None = None, exclusions: DataFrame | None = None, allow_new: bool = True,
+           block: int | None = None) -> DataFrame:
+    """The cascade for a batch in which an entity goes to one tracklet of a frame, with the entity barred for the others' next attempt.
+
+    Deferred acceptance: each tracklet's attempt names the entity it wants; of those in a frame that want the same one the best scored keeps
+    it for now, and the others go through the whole cascade again without that entity, where they may win another from its holder, be
+    deferred or become new. The outcome is stable: whoever would rather have another entity of its frame finds it with a better scored
+    tracklet. A round searches nothing anew and takes up only the tracklets that lost; every round bars pairs for good, so rounds end.
+    ``round`` tells the attempt that decided. Ties go to the smaller tracklet id.
+    """
+    spot = ["device_id", "frame_end", "entity_id"]
+    best = Window.partitionBy(*spot).orderBy(F.desc_nulls_last("score"), "tracklet_id")
+    waiting, barred, held, rounds = tracklets, exclusions, None, 0
+    pairs = cut(point_scores(tracklets, gallery, block=block))
+    while True:
+        scores = with_scores(waiting, gallery, aux, barred, block, pairs.join(waiting.select("tracklet_id"), "tracklet_id", "left_semi"))
+        tried = cascade(scores, allow_new).withColumn("round", F.lit(rounds))
+        claims = tried if held is None else held.unionByName(tried)
+        named = claims.where(F.col("entity_id").isNotNull()).withColumn("_lost", F.row_number().over(best) > 1)
+        ranked = cut(named.unionByName(claims.where(F.col("entity_id").isNull()).withColumn("_lost", F.lit(False))))
+        lost = ranked.where("_lost").select("tracklet_id", F.col("entity_id").alias("_gone"))
+        held = ranked.where("NOT _lost").drop("_lost")
+        if lost.isEmpty():
+            return held
+        rounds += 1
+        gone = lost.select("tracklet_id", F.col("_gone").alias("entity_id"), F.lit("forbidden").alias("reason"))
+        barred = cut(gone if barred is None else barred.unionByName(gone))
+        # whoever lost its own or its hinted entity has none of them any more
+        waiting = cut(waiting_again(tracklets, barred.join(gone.select("tracklet_id"), "tracklet_id", "left_semi")))
+
+
+def waiting_again(tracklets: DataFrame, barred: DataFrame) -> DataFrame:
+    """Tracklets for another attempt, without a current or hinted entity that they lost."""
+    taken = barred.where(F.col("reason") == "forbidden").groupBy("tracklet_id").agg(F.collect_set("entity_id").alias("_taken"))
+    rows = tracklets.join(taken, "tracklet_id")
+    return rows.select(*[F.when(~F.array_contains("_taken", F.col(c)), F.col(c)).alias(c) if c in ("current_id", "hint_id") else F.col(c)
+                         for c in tracklets.columns])
+
+
 def mint(decided: DataFrame, first_id: int) -> DataFrame:
     """Numbers for new entities in order of first sight."""
     new = decided.where(F.col("method") == "new_identity").drop("entity_id")
