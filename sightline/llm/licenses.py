@@ -159,12 +159,12 @@ def rules() -> list[Rule]:
         for label, names in NAMES.items():
             if kind == "bare":
                 names = [n for n in names if n not in COMMON]
-            if not names:
-                continue
+            # a version makes a bare name as telling as one with ``license`` beside it
+            priority_, weight_ = (2, 0.7) if kind == "bare" and label.endswith("-N") else (priority, weight)
             # the longest name first, so that a version is not cut off
             for name in sorted(names, key=len, reverse=True):
                 pattern = name.replace("v N", "N").replace(" N", f" ?{VERSION}") if name.endswith(" N") else name
-                out.append(Rule(f"{kind}:{name}", label, frame.replace("{}", pattern), (name.removesuffix(" N"),), priority, weight))
+                out.append(Rule(f"{kind}:{name}", label, frame.replace("{}", pattern), (name.removesuffix(" N"),), priority_, weight_))
     return out
 
 

@@ -244,7 +244,7 @@ def _arrow_kinds() -> list[pa.DataType]:
 PLAN = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
-def plan(rows: DataFrame) -> DataFrame:
+def plan(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit): faults and cheapest edits of every conversation.
 
     Rows (conv_id, turn, role, text) are taken by turn, nulls first, then role, then a digest of role and text; other columns are ignored.
@@ -252,7 +252,7 @@ def plan(rows: DataFrame) -> DataFrame:
     The audit has an initial for each edit: Keep, Rerole, Delete, Insert. Null role or text is one space, null ``conv_id`` a conversation
     of its own, null turns stand first and count in no gap. An empty table has no conversation.
     """
-    made = cut(pieces(rows))
+    made = cut(pieces(rows, piece_rows))
     gaps = F.coalesce(F.col("last_turn") - F.col("first_turn") + 1 - F.col("turns"), F.lit(0).cast("long"))
     own = ["blank", "duplicate", "truncated", "illegal", "cost", "audit"]
     whole = made.filter("whole").select("conv_id", gaps.alias("gaps"), *own)
@@ -388,9 +388,9 @@ def damage(rows: DataFrame) -> DataFrame:
         F.when(hurt == 1, "").when(hurt == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), copies.alias("_copy")).drop("_copy")
 
 
-def report(rows: DataFrame, repair_of: DataFrame) -> DataFrame:
+def report(rows: DataFrame, repair_of: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """One row for every ``conv_id`` of ``rows``: plan and digest of ``repair_of``; a conversation without rows there has zeros."""
-    plans = cut(plan(repair_of))
+    plans = cut(plan(repair_of, piece_rows))
     fields = [c.split() for c in (PLAN + ", repaired_sha256 string").split(", ")]
 
     def widened(df: DataFrame) -> DataFrame:
