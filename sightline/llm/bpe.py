@@ -9,6 +9,7 @@ adjacent tokens are then compatible, which only the encoding of the whole has. O
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,6 +21,8 @@ from .text import slices, strings
 
 LEAF_CHARS = 16384
 SPECIAL = {"<|endoftext|>": 50256}
+#: runs of Unicode white space that are encoded apart
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 #: fixed: the word pattern of the public byte-level vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -34,6 +37,35 @@ def encoding(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a whole text, special tokens included.
+
+    The word pattern backtracks over runs of white space, too deep for long ones. They are cut off by what the pattern does: all of a run but
+    its last character are one word, at the end of a text or before a special token the last one too.
+    """
+    run = encoding(path)
+    special = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
+
+    def encode(text: str) -> list[int]:
+        if not LONG_SPACE.search(text):
+            return run.encode(text, allowed_special="all")
+        ids: list[int] = []
+        for part in special.split(text):
+            if part in SPECIAL:
+                ids.append(SPECIAL[part])
+                continue
+            at = 0
+            for m in LONG_SPACE.finditer(part):
+                end = m.end() if m.end() == len(part) else m.end() - 1
+                ids += run.encode_ordinary(part[at:m.start()])
+                ids += run._encode_single_piece(part[m.start():end])
+                at = end
+            ids += run.encode_ordinary(part[at:])
+        return ids
+
+    return encode
+
+
 def _reach(tokens: list[bytes], n: int, characters: int) -> int:
     """n, or more until that many tokens hold so many characters."""
     while n < len(tokens) and sum(len(t) for t in tokens[:n]) < 4 * characters:
@@ -86,22 +118,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     one = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoding(path)
+        run = encoder(path)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                ids = [run.encode(t, allowed_special="all") for t in strings(part, "text")]
+                ids = [run(t) for t in strings(part, "text")]
                 cols = [part.column(c) for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32()))], [c for c in part.schema.names if c != "text"] + ["ids"])
 
     def tree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoding(path)
+        run, again = encoding(path), encoder(path)
         for part in parts:
             for at in range(part.num_rows):
                 row = part.slice(at, 1)
                 leaves = row.column("leaves")[0].as_py()
                 copies = sum(x["k"] == 0 for x in leaves)  # rows that are alike in id and text
                 own = {x["k"]: x["ids"] for x in leaves}
-                ids = join_all([own[k] for k in sorted(own)], lambda t: run.encode(t, allowed_special="all"), run.decode_single_token_bytes)
+                ids = join_all([own[k] for k in sorted(own)], again, run.decode_single_token_bytes)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([row.column("_id")] * copies), pa.array([ids] * copies, pa.list_(pa.int32()))], ["_id", "ids"])
 
     kind = one.schema["_id"].dataType.simpleString()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoding
+from .bpe import encoder
 from .text import WORD, slices, strings
 
 GROUP = ("source", "lang", "version")
@@ -31,10 +31,10 @@ def bpe_counts(docs: DataFrame, path: str, name: str) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoding(path)
+        run = encoder(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                n = [len(run.encode(t, allowed_special="all")) for t in strings(part, "text")]
+                n = [len(run(t)) for t in strings(part, "text")]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(n, pa.int64())], [*(f.name for f in kept), name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

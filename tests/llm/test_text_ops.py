@@ -311,3 +311,18 @@ def test_oracles_match(spark):
         cur = con.execute(sql)
         names = [d[0] for d in cur.description]
         assert Counter(tuple(r) for r in df.select(*names).collect()) == Counter(cur.fetchall())
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " \n", "　"])
+def test_long_white_space_is_encoded_like_the_library_does(spark, space):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = queries.ranks_path()
+    texts = [f"word{space * 400_000}end.", space * 20_000, f"a{space * 5_000}<|endoftext|>{space * 5_000}'s"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, path).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    counted = {r.doc_id: r.n for r in rollup.bpe_counts(docs, path, "n").collect()}
+    assert counted == {i: len(x) for i, x in got.items()}
