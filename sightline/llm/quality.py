@@ -167,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     chosen = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").filter("_text is not null")
+    texts = texts.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # an id that many rows share counts once
     rows = features(texts, ["_id", "_y"], "_text").filter("not base_failed")
     got = rows.select("_id", "_y", *[F.expr(e).alias(f"f_{k}") for k, e in RATIOS.items()]).toArrow().sort_by("_id")
     return learn({k: got.column(f"f_{k}").to_numpy() for k in RATIOS}, got.column("_y").to_numpy() == 0)

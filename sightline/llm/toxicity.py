@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             .orderBy(F.xxhash64("_id"), "_id").limit(MAX_UNLABELLED).withColumn("_y", F.lit(-1)))
     sample = F.broadcast(chosen.union(free))  # MAX_LABELLED + MAX_UNLABELLED short rows at most
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").filter("_text is not null")
+    texts = texts.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # an id that many rows share counts once
     got = featurise(texts, ["_id", "_y"], "_text").toArrow().sort_by([("_y", "ascending"), ("_id", "ascending")])
     y = got.column("_y").to_numpy()
     rows = [np.asarray(x.values) for x in got.column("words")]
