@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..config import TRACKLETS
+from ..config import CLUSTERS, TRACKLETS
 from ..lineage import ensure_checkpoint_dir
-from ..operators import clusters, live, tracks
+from ..operators import clusters, evidence, folds, live, tracks
+from ..plans import resolve
 from ..sources import derived as d
 from ..sources import frames
-from ..streaming import live as live_stream
+from ..streaming import folds as stream_folds
 from ..streaming import tables as stored
 from ..streaming import tracklets as cutter
 from .registry import register
@@ -168,24 +169,89 @@ def _(spark, sf):
     return live.keep(live_boxes(spark, sf)).select(*LIVE)
 
 
-@register("stream_live_tracks")
-def _(spark, sf):
+def folded_stream(spark, rows, keeper, silence_frames, empty, late=2):
+    """Rows of a fold, as a stream in three instalments with late rows; each device says that it ends."""
     cutter.use_state_store(spark)
-    ms = F.lit(EPOCH_MS) + F.col("frame_no") * FRAME_MS
-    boxes = live_boxes(spark, sf).withColumn("event_ms", ms.cast("long")).withColumn("ts", F.timestamp_millis(ms.cast("long")))
-    last = boxes.agg(F.max("frame_no")).first()[0] or 0
+    ms = (F.lit(EPOCH_MS) + F.col("frame_no") * FRAME_MS).cast("long")
+    rows = rows.withColumn("event_ms", ms).withColumn("ts", F.timestamp_millis(ms))
+    last = rows.agg(F.max("frame_no")).first()[0] or 0
     over = EPOCH_MS + last * FRAME_MS
 
     def message(device, at):
-        zero = [F.lit(0.0).alias(c) for c in ("score", "x1", "y1", "x2", "y2")]
-        return spark.range(1).select(F.lit(device).alias("device_id"), F.lit(live.END_FRAME).cast("long").alias("frame_no"), F.lit(-1).cast("long").alias("box_id"), *zero,
-                                     F.lit(at).cast("long").alias("event_ms"), F.timestamp_millis(F.lit(at).cast("long")).alias("ts"))
+        held = {"device_id": F.lit(device), "frame_no": F.lit(folds.END_FRAME), "event_ms": F.lit(at), "ts": F.timestamp_millis(F.lit(at).cast("long")), "box_id": F.lit(-1)}
+        return spark.range(1).select(*[held.get(f.name, F.lit(empty if f.dataType.typeName() in ("double", "long") else None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
 
-    # every device says that it ends; an hour later a message of none moves the watermark past all of them
+    # an hour later a message of no device moves the watermark past all of them
     end = message("none", over + 3_600_000)
     for k in range(4):
         end = end.unionByName(message(f"dev{k}", over + 1))
-    silence = (tracks.BUFFER + 1) * FRAME_MS
-    where = drained(spark, boxes, instalment(F.col("frame_no"), "box_id", 2, last), end,
-                    lambda s, out, state: frames.write_stream(live_stream.keep_tracks(s, silence), out, state))
-    return spark.read.parquet(f"{where}/out").select(*LIVE)
+    where = drained(spark, rows, instalment(F.col("frame_no"), "box_id", late, last), end,
+                    lambda s, out, state: frames.write_stream(stream_folds.fold(s, keeper, (silence_frames + 1) * FRAME_MS), out, state))
+    return spark.read.parquet(f"{where}/out")
+
+
+@register("stream_live_tracks")
+def _(spark, sf):
+    return folded_stream(spark, live_boxes(spark, sf), live.Keeper, tracks.BUFFER, 0).select(*LIVE)
+
+
+def loose_boxes(spark, sf):
+    """Boxes that no track took up, two or three a frame and device, with a vector for two thirds of them."""
+    o = d.observations(spark, sf).where("v_score >= 0.35").withColumn("point_id", F.col("entity_id") * 4 + F.floor(F.col("frame_no") / 4) % 4)
+    spot = F.col("entity_id") % 5 * 260 + F.col("frame_no") % 9 * 3
+    return o.join(d.gallery(spark, sf).select("point_id", "vec"), "point_id", "left").select(
+        "device_id", F.floor(F.col("frame_no") / 12).alias("frame_no"), F.col("frame_no").alias("box_id"), "v_score", (F.col("v_score") / 2 + 0.4).alias("confidence"),
+        (F.col("overlap_ratio") / 4).alias("nearest_iou"), spot.cast("double").alias("x1"), (F.col("frame_no") % 7).cast("double").alias("y1"),
+        (spot + 60).cast("double").alias("x2"), (F.col("frame_no") % 7 + 150).cast("double").alias("y2"), F.when(F.col("frame_no") % 3 > 0, F.col("vec")).alias("vec"))
+
+
+CLUSTERED = ("device_id", "event", "cluster_id", "box_id", "frame_no", "first_frame", "entries", "v_avg", "v_max", "overall", "confidence_avg", "confidence_max", "iou_min", "iou_max", "tier")
+
+
+@register("live_clusters")
+def _(spark, sf):
+    return folds.fold(loose_boxes(spark, sf), evidence.Clusters).select(*CLUSTERED)
+
+
+@register("stream_live_clusters")
+def _(spark, sf):
+    return folded_stream(spark, loose_boxes(spark, sf), evidence.Clusters, CLUSTERS.flush_after, 0).select(*CLUSTERED)
+
+
+@register("stream_clusters_resolved")
+def _(spark, sf):
+    """Clusters that the stream flushes: evidence for a known entity, a new one, or nothing."""
+    events = folded_stream(spark, loose_boxes(spark, sf), evidence.Clusters, CLUSTERS.flush_after, 0)
+    known = d.gallery(spark, sf).where("v <> 3 AND entity_id % 4 <> 0")
+    return resolve.attach_or_mint(evidence.flushed_clusters(events), known).select("tracklet_id", "method", "entity_id")
+
+
+def short_fragments(spark, sf):
+    """Fragments of one to four boxes, of entities that come back at about the same place."""
+    o = d.observations(spark, sf).withColumn("point_id", F.col("entity_id") * 4 + F.col("frame_no") % 4)
+    spot = F.col("entity_id") % 7 * 180 + F.col("frame_no") % 5 * 4
+    return o.join(d.gallery(spark, sf).select("point_id", "vec"), "point_id").select(
+        "device_id", F.floor(F.col("frame_no") / 8).alias("frame_no"), F.col("frame_no").alias("box_id"), (F.col("frame_no") % 50).alias("track_id"),
+        (F.floor(F.col("frame_no") / 8) + F.col("frame_no") % 3).alias("frame_end"), (F.col("frame_no") % 4 + 1).alias("entry_count"), (F.col("v_score") * 0.4 + 0.6).alias("v_avg"),
+        spot.cast("double").alias("x1"), F.lit(0.0).alias("y1"), (spot + 60).cast("double").alias("x2"), F.lit(150.0).alias("y2"), "vec")
+
+
+CHAINED = ("device_id", "event", "chain_id", "box_id", "frame_no", "first_frame", "fragments", "entries", "v_avg")
+
+
+@register("short_fragments")
+def _(spark, sf):
+    return folds.fold(short_fragments(spark, sf), evidence.Fragments).select(*CHAINED)
+
+
+@register("stream_short_fragments")
+def _(spark, sf):
+    return folded_stream(spark, short_fragments(spark, sf), evidence.Fragments, CLUSTERS.fragment_gap, 0).select(*CHAINED)
+
+
+@register("fragments_resolved")
+def _(spark, sf):
+    """Promoted chains: new entities, or deferred beside the known one that they resemble."""
+    promoted = folds.fold(short_fragments(spark, sf), evidence.Fragments).where("event = 'promoted'")
+    known = d.gallery(spark, sf).where("v = 0 AND entity_id % 3 <> 0")
+    return resolve.recovered(promoted, known).select("chain_id", "method", "suggested_id", F.round("score", 6).alias("score"))

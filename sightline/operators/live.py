@@ -14,9 +14,9 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import folds
 from .tracks import BIRTH, BUFFER, COST_HIGH, COST_LOW, COST_NEW, HIGH, LOW
 
 #: share of a newly seen velocity in the kept one
@@ -24,7 +24,6 @@ GAIN = 0.5
 #: lost tracks that lie on a seen one by so much are the same
 SAME_COST = 0.15
 BORN, SEEN, LOST = "born", "seen", "lost"
-END_FRAME = -1
 PAIR_ROWS = 1024
 
 
@@ -53,11 +52,6 @@ class Track(NamedTuple):
     hits: int
 
 
-TRACK = "track_id long, state string, x1 double, y1 double, x2 double, y2 double, vx double, vy double, first_frame long, last_frame long, hits long"
-FIELDS = ["device_id", "event", "track_id", "box_id", "frame_no", "first_frame", "hits", "closed_by"]
-OUTPUT = "device_id string, event string, track_id long, box_id long, frame_no long, first_frame long, hits long, closed_by string"
-
-
 def expected(t: Track, frame: int) -> tuple[float, float, float, float]:
     """Where a track should be in a frame."""
     dx, dy = t.vx * (frame - t.last_frame), t.vy * (frame - t.last_frame)
@@ -136,66 +130,32 @@ def step(tracks: list[Track], frame: int, boxes: list[Box], buffer: int = BUFFER
     return done + [t for j, t in enumerate(lost) if j not in same], rows, closed
 
 
-class Keeper:
-    """One device: rows in event order go in, result rows come out."""
+class Keeper(folds.Keeper):
+    """Tracks of one device. Result rows are a box's track (``born``, ``seen``, ``found`` again) and ``closed`` tracks with their last frame,
+    number of boxes and reason."""
 
-    def __init__(self, device: str, tracks: Iterable[Track] = (), last_frame: int | None = None, buffer: int = BUFFER):
-        self.device, self.tracks, self.last_frame, self.buffer = device, list(tracks), last_frame, buffer
-        self.out: list[tuple] = []
+    ROW = "box_id long, score double, x1 double, y1 double, x2 double, y2 double"
+    STATE = ("track_id long, state string, x1 double, y1 double, x2 double, y2 double, vx double, vy double, first_frame long, last_frame long, "
+             "hits long")
+    OUTPUT = "device_id string, event string, track_id long, box_id long, frame_no long, first_frame long, hits long, closed_by string"
 
-    def frame(self, frame: int, boxes: list[Box]) -> None:
-        """A frame that isn't newer than the last one is left out."""
-        if self.last_frame is not None and frame <= self.last_frame:
-            return
-        self.tracks, rows, closed = step(self.tracks, frame, boxes, self.buffer, self.last_frame is None)
-        self.last_frame = frame
-        self.out += [(self.device, e, t.track_id, b.box_id, frame, t.first_frame, t.hits, None) for e, t, b in rows]
+    def __init__(self, device: str, open_: Iterable[tuple] = (), last_frame: int | None = None, buffer: int = BUFFER) -> None:
+        super().__init__(device, (Track(*t) for t in open_), last_frame)
+        self.buffer = buffer
+
+    def take(self, frame: int, rows: list[tuple]) -> None:
+        self.open, matched, closed = step(self.open, frame, [Box(*r) for r in rows], self.buffer, self.last_frame is None)
+        self.out += [(self.device, e, t.track_id, b.box_id, frame, t.first_frame, t.hits, None) for e, t, b in matched]
         self._closed(closed)
 
     def end(self, why: str) -> None:
-        """Close what is open; the device may begin anew."""
-        self._closed([(t, why) for t in self.tracks])
-        self.tracks = []
+        self._closed([(t, why) for t in self.open])
+        self.open = []
 
     def _closed(self, closed: list[tuple[Track, str]]) -> None:
         self.out += [(self.device, "closed", t.track_id, None, t.last_frame, t.first_frame, t.hits, why) for t, why in closed]
 
-    def taken(self) -> pd.DataFrame:
-        out = pd.DataFrame(self.out, columns=FIELDS).astype({"box_id": "Int64"})
-        self.out = []
-        return out
-
 
 def keep(boxes: DataFrame, buffer: int = BUFFER) -> DataFrame:
-    """Tracks of all frames at once, to their end. Rows (device_id, frame_no, box_id, score, x1, y1, x2, y2); result rows are a box's track
-    (``born``, ``seen``, ``found`` again) and ``closed`` tracks with their last frame, number of boxes and reason.
-
-    Rows are sorted by device and frame and streamed through: a task holds the open tracks and the boxes of one frame.
-    """
-    cols = ["device_id", "frame_no", "box_id", "score", "x1", "y1", "x2", "y2"]
-    stream = boxes.select(*cols).repartition("device_id").sortWithinPartitions("device_id", "frame_no", "box_id")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keeper: Keeper | None = None
-        frame, waiting = None, []
-        for part in parts:
-            for device, no, *box in part.itertuples(index=False, name=None):
-                if keeper is None or device != keeper.device or no != frame:
-                    if keeper is not None:
-                        keeper.frame(frame, waiting)
-                        if device != keeper.device:
-                            keeper.end("end")
-                    if keeper is None or device != keeper.device:
-                        if keeper is not None and keeper.out:
-                            yield keeper.taken()
-                        keeper = Keeper(device, buffer=buffer)
-                    frame, waiting = no, []
-                waiting.append(Box(*box))
-            if keeper is not None and keeper.out:
-                yield keeper.taken()
-        if keeper is not None:
-            keeper.frame(frame, waiting)
-            keeper.end("end")
-            yield keeper.taken()
-
-    return stream.mapInPandas(run, OUTPUT)
+    """Tracks of all frames at once, to their end: rows of ``Keeper`` from (device_id, frame_no, box_id, score, x1, y1, x2, y2)."""
+    return folds.fold(boxes, Keeper, buffer=buffer)

@@ -378,3 +378,19 @@ def snapshot_rows(decided: DataFrame) -> DataFrame:
     return decided.where(confirmed).select(
         "entity_id", F.col("tracklet_id").alias("seq"), F.concat(F.lit("tracklet-"), F.col("tracklet_id")).alias("snapshot_key"),
         g.snapshot_score(F.col("v_avg"), F.col("overall"), F.col("vector_consistency"), F.col("max_overlap")).alias("snapshot_score"))
+
+
+def recovered(promoted: DataFrame, gallery: DataFrame, block: int | None = None) -> DataFrame:
+    """Chains of short fragments that were promoted: a new entity, unless one is known that they resemble; then they are deferred with it
+    as suggestion, and may join it as evidence by ``provisional``.
+
+    Chains carry chain_id, box_id of the fragment that completed them, and vec.
+    """
+    from ..operators.evidence import FRAGMENT_NEAR
+
+    asked = promoted.select(F.col("chain_id").alias("tracklet_id"), "vec")
+    scores = cut(point_scores(asked, gallery, FRAGMENT_NEAR, block).withColumn("current_id", F.lit(None).cast("long")))
+    near = leaders(scores, F.lit(FRAGMENT_NEAR), 1, F.lit(True), "near").select(F.col("tracklet_id").alias("chain_id"), "near_id", "near_score")
+    method = F.when(F.col("near_id").isNotNull(), "fragment_recovery_deferred_near_gallery").otherwise("new_identity")
+    return promoted.join(near, "chain_id", "left").withColumn("method", method).withColumnsRenamed({"near_id": "suggested_id", "near_score": "score"}).withColumn(
+        "source", F.lit("fragment_recovery"))
