@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..operators import hysteresis, votes
+from ..plans import exclusions
 from ..sources import derived as d
+from .geometry import centre_sql, iou_sql
 from .registry import register
 from .reports import VOTED
+from .temporal import rec_sql, recent
 
 STABLE, SCALE, HARD = lb.LABELS.stable, lb.LABELS.scale_stable, d.HARD
 
@@ -182,11 +185,57 @@ def _misfit(floor):
     return lb.incompatible(F.col("t_label"), F.col("t_conf"), F.col("e_label"), F.col("e_conf"), F.col("e_support"), floor)
 
 
-@register("label_incompatible_entities", f"""WITH RECURSIVE {AGAINST} SELECT tracklet_id, entity_id FROM ag
-WHERE entity_id <> current_id AND {_misfit_sql(0.55)}""")
+# entities of the whole table that a tracklet's hard label rules out: classes of tracklets, members of a class, and given candidates
+WHOLE = TRACKLET_VOTES + ", " + SNAP.replace(d.VOTE + ", ", "") + """, own AS (SELECT tracklet_id, any_value(entity_id) AS current_id FROM tv GROUP BY 1),
+tl AS (SELECT tracklet_id, label FROM tvoted WHERE task = 'kind' AND label <> 'unknown' AND confidence >= 0.55),
+el AS (SELECT entity_id, label FROM snap WHERE task = 'kind' AND label <> 'unknown' AND (confidence >= 0.8 OR support >= 2))"""
+
+
+def hard_votes(spark, sf):
+    """(tracklet_id, current_id), the tracklets' hard labels, and the entities'."""
+    tv = tracklet_votes(spark, sf)
+    own = tv.groupBy("tracklet_id").agg(F.first("entity_id").alias("current_id"))
+    return own, votes.tracklet_vote(tv.where(F.col("task") == HARD)), snapshot(spark, sf).where(F.col("task") == HARD)
+
+
+@register("label_misfit_classes", f"""WITH RECURSIVE {WHOLE} SELECT tl.tracklet_id, tl.label, count(el.entity_id) AS n_misfits FROM tl JOIN own USING (tracklet_id)
+LEFT JOIN el ON el.label <> tl.label AND el.entity_id <> current_id GROUP BY ALL""")
+def _(spark, sf):
+    own, voted, snap = hard_votes(spark, sf)
+    return exclusions.misfit_classes(voted, snap, own)
+
+
+@register("label_misfit_members", f"""WITH RECURSIVE {WHOLE} SELECT DISTINCT tl.label, el.entity_id FROM tl JOIN el ON el.label <> tl.label""")
+def _(spark, sf):
+    _, voted, snap = hard_votes(spark, sf)
+    return exclusions.misfit_members(voted, snap)
+
+
+NEIGHBOURS = """, nb AS (SELECT DISTINCT a.tracklet_id, b.entity_id FROM trk a JOIN trk b ON a.device_id = b.device_id AND a.entity_id <> b.entity_id
+  AND a.frame_start - 240 <= b.frame_end AND b.frame_start <= a.frame_end + 240)"""
+FITTED = WHOLE.replace(d.ENTRIES, d.TRK) + NEIGHBOURS
+
+
+@register("label_incompatible_entities", f"""WITH RECURSIVE {FITTED} SELECT tracklet_id, entity_id FROM nb JOIN tl USING (tracklet_id)
+JOIN el USING (entity_id) WHERE tl.label <> el.label""")
+def _(spark, sf):
+    _, voted, snap = hard_votes(spark, sf)
+    return exclusions.misfits(exclusions.neighbours(d.tracklets(spark, sf)), voted, snap)
+
+
+@register("exclusions_found", f"""WITH RECURSIVE {FITTED}, {rec_sql(120).replace(d.OBS + ", ", "")}, {rec_sql(18).replace(d.OBS + ", ", "").replace("rec AS", "rec18 AS")},
+st AS (SELECT tracklet_id, frame_start AS row_id, entity_id AS current_id FROM trk)
+SELECT DISTINCT x.tracklet_id, x.entity_id, reason FROM (
+  SELECT tracklet_id, nb.entity_id, 'forbidden' AS reason FROM nb JOIN tl USING (tracklet_id) JOIN el USING (entity_id) WHERE tl.label <> el.label
+  UNION ALL SELECT tracklet_id, other_id, 'recent' FROM st JOIN rec USING (row_id) WHERE {iou_sql('', 'o_')} < 0.1 AND {centre_sql('', 'o_')} > 0.9
+  UNION ALL SELECT tracklet_id, other_id, 'blocked' FROM st JOIN rec18 USING (row_id) WHERE other_track <> track_id
+  UNION ALL SELECT tracklet_id, other_id, 'duplicate' FROM st JOIN rec18 USING (row_id) WHERE {iou_sql('', 'o_')} >= 0.5) x JOIN st USING (tracklet_id)
+WHERE x.entity_id <> current_id""")
 def _(spark, sf):
-    return against(spark, sf).where((F.col("entity_id") != F.col("current_id")) & _misfit(lb.LABELS.tracklet_floor)).select(
-        "tracklet_id", "entity_id")
+    own, voted, snap = hard_votes(spark, sf)
+    t = d.tracklets(spark, sf)
+    starts = t.select("tracklet_id", F.col("frame_start").alias("row_id"), F.col("entity_id").alias("current_id"))
+    return exclusions.found(starts, recent(spark, sf, 120), recent(spark, sf, 18), exclusions.neighbours(t), voted, snap)
 
 
 @register("label_conflict_with_current", f"""WITH RECURSIVE {AGAINST} SELECT tracklet_id, entity_id, {_misfit_sql(0.88)} AS strong,
