@@ -1,6 +1,6 @@
 from . import registry
 
-_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels", "temporal", "resolution", "merging", "tables", "streams", "sinks", "processing")
+_FAMILIES: tuple[str, ...] = ("reports", "geometry", "frames", "similarity", "labels", "temporal", "resolution", "merging", "bridges", "tables", "streams", "sinks", "processing")
 
 
 def load() -> tuple[dict, dict]:
