@@ -339,37 +339,47 @@ def candidate_pairs(gallery_points: DataFrame, floor: float = M.candidate_floor,
     return similarity.entity_pairs(gallery_points, floor - MARGIN_REACH, block)
 
 
-def one_pass(pairs: DataFrame, t: Tables, optional: bool = False) -> DataFrame:
-    """Merges of one pass: those by vector, then spatial splits among what is left."""
+def one_pass(pairs: DataFrame, t: Tables, optional: bool = False, apart: DataFrame | None = None) -> DataFrame:
+    """Merges of one pass: those by vector, then spatial splits among what is left. Pairs in ``apart`` (entity_a < entity_b) are no candidates."""
+    if apart is not None:
+        pairs = pairs.join(apart, ["entity_a", "entity_b"], "left_anti")
     near = similarity.duplicate_candidates(pairs, M.candidate_floor, ranks=M.retries)
     by_vector = cut(mutual(proposals(judged(near, t, optional))))
-    return by_vector.unionByName(mutual(proposals(spatial_splits(t, by_vector, optional))))
+    return by_vector.unionByName(mutual(proposals(spatial_splits(t, by_vector, optional, apart))))
 
 
-def spatial_splits(t: Tables, taken: DataFrame, optional: bool = False) -> DataFrame:
+def spatial_splits(t: Tables, taken: DataFrame, optional: bool = False, apart: DataFrame | None = None) -> DataFrame:
     """Pairs the vector search does not rank but whose tracklets hand over, each at its true score."""
     used = taken.select(F.explode(F.array("entity_a", "entity_b")).alias("_e")).distinct()
     free = t.tracklets.join(used.withColumnRenamed("_e", "entity_id"), "entity_id", "left_anti")
-    close = cut(temporal.nearby_pairs(free, 240, 1.30))
+    close = temporal.nearby_pairs(free, 240, 1.30)
+    close = cut(close if apart is None else close.join(apart, ["entity_a", "entity_b"], "left_anti"))
     scored = close.join(similarity.pair_similarity(close, t.gallery), ["entity_a", "entity_b"])
     rows = scored.select(F.col("entity_a").alias("entity_id"), F.col("entity_b").alias("other_id"), F.lit(1).alias("rank"), "score",
                          F.lit(None).cast("double").alias("runner_up"))
     return judged(rows, t, optional).where(F.col("reason").isNotNull())
 
 
-def reconcile(t: Tables, passes: int = M.passes, optional: bool = False, block: int | None = None) -> DataFrame:
+def reconcile(t: Tables, passes: int = M.passes, optional: bool = False, block: int | None = None, cannot_link: DataFrame | None = None) -> DataFrame:
     """(source_id, target_id, score, method, reason, pass) over all passes, targets
     resolved to the final survivor. Pair scores are computed once and relabelled:
-    the best score of a merged pair is the best of its parts."""
+    the best score of a merged pair is the best of its parts.
+
+    Pairs in ``cannot_link`` (entity_a, entity_b) never come into one entity: a veto between two entities holds for the groups they have
+    become part of, so it is relabelled like the scores after each pass, and in a pass no entity takes part in two merges.
+    """
+    apart = None if cannot_link is None else cut(cannot_link.select(F.least("entity_a", "entity_b").alias("entity_a"), F.greatest("entity_a", "entity_b").alias("entity_b")).distinct())
     t = t._replace(tracklets=cut(t.tracklets), label_rows=cut(t.label_rows), gallery=cut(t.gallery))
     pairs = cut(candidate_pairs(t.gallery, block=block))
     found: DataFrame | None = None
     for n in range(1, passes + 1):
-        merges = cut(one_pass(pairs, t, optional).select("source_id", "target_id", "score", "method", "reason", F.lit(n).alias("pass")))
+        merges = cut(one_pass(pairs, t, optional, apart).select("source_id", "target_id", "score", "method", "reason", F.lit(n).alias("pass")))
         if merges.isEmpty():
             break
         found = merges if found is None else found.unionByName(merges)
         pairs = cut(_relabel(pairs, merges))
+        if apart is not None:
+            apart = cut(_relabel(apart.withColumn("score", F.lit(0.0)), merges).drop("score"))
         t = t._replace(tracklets=cut(rename(t.tracklets, merges)), label_rows=cut(rename(t.label_rows, merges)),
                        gallery=cut(rename(t.gallery, merges)))
     if found is None:

@@ -56,3 +56,24 @@ def test_iou_is_symmetric_and_bounded(spark):
     a, b = g.box("a"), g.box("b")
     bad = df.where((F.abs(g.iou(a, b) - g.iou(b, a)) > 1e-12) | (g.iou(a, b) < 0) | (g.iou(a, b) > 1))
     assert bad.count() == 0
+
+
+def test_a_crowded_frame_equals_pixel_count(spark):
+    """20,000 boxes in one frame, some of them twice, and a second frame with few."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 1860, 20_000), rng.integers(0, 950, 20_000)
+    w, h = rng.integers(4, 60, 20_000), rng.integers(4, 130, 20_000)
+    x[19_000:], y[19_000:], w[19_000:], h[19_000:] = x[:1000], y[:1000], w[:1000], h[:1000]
+    image = np.zeros((1081, 1921), int)
+    for a, b, c, d in zip(x, y, w, h):
+        image[b:b + d, a:a + c] += 1
+    rows = [("d", 1, str(i), float(a), float(b), float(a + c), float(b + d)) for i, (a, b, c, d) in enumerate(zip(x, y, w, h))]
+    rows += [("d", 2, "p", 0.0, 0.0, 10.0, 10.0), ("d", 2, "q", 5.0, 0.0, 10.0, 10.0)]
+    got = {r.det_id: r.overlap_ratio for r in overlap.with_overlap(spark.createDataFrame(rows, BOXES)).collect()}
+    assert len(got) == 20_002 and got["p"] == 0.5 and got["q"] == 1.0
+    for i in [*range(0, 1000, 40), *range(1000, 20_000, 500)]:
+        same = int(((x == x[i]) & (y == y[i]) & (w == w[i]) & (h == h[i])).sum())
+        part = image[y[i]:y[i] + h[i], x[i]:x[i] + w[i]] > same
+        assert abs(got[str(i)] - part.mean()) < 1e-9
