@@ -56,6 +56,23 @@ def leaders(scored: DataFrame, threshold: Column, top_k: int, eligible: Column,
         F.max(F.when(other, F.col("_s"))).alias(f"{prefix}_other"))
 
 
+def all_leaders(scored: DataFrame, searches: list[tuple[str, Column, int, Column]]) -> DataFrame:
+    """``leaders`` of several searches (prefix, threshold, top_k, eligible) over the same scores: one shuffle, one row a tracklet."""
+    def ranked(order: Column) -> Column:
+        return F.row_number().over(Window.partitionBy("tracklet_id").orderBy(order.desc_nulls_last(), "entity_id"))
+
+    other = F.col("entity_id") != F.coalesce("current_id", F.lit(-1))
+    rows, found = scored, []
+    for prefix, threshold, k, ok in searches:
+        s, t, r = f"_s_{prefix}", f"_t_{prefix}", f"_r_{prefix}"
+        rows = rows.withColumn(s, blended(threshold))
+        rows = rows.withColumn(t, F.when((ranked(F.col(s)) <= k) & ok, F.col(s)))
+        rows = rows.withColumn(r, F.when(F.col(t).isNotNull(), ranked(F.col(t))))
+        found += [F.max(F.when(F.col(r) == 1, F.col("entity_id"))).alias(f"{prefix}_id"), F.max(F.when(F.col(r) == 1, F.col(t))).alias(f"{prefix}_score"),
+                  F.max(F.when(F.col(r) == 2, F.col(t))).alias(f"{prefix}_second"), F.max(F.when(other, F.col(t))).alias(f"{prefix}_other")]
+    return rows.groupBy("tracklet_id").agg(*found)
+
+
 def exclusion_flags(exclusions: DataFrame) -> DataFrame:
     """Rows of (tracklet_id, entity_id, reason) to one row of flags per pair."""
     return exclusions.groupBy("tracklet_id", "entity_id").agg(*[
@@ -110,11 +127,10 @@ def with_scores(tracklets: DataFrame, gallery: DataFrame, aux: DataFrame | None
     free = ~F.col("forbidden") & ~F.col("recent") & ~F.col("blocked")
     # once continuity has failed the current entity is out for the looser searches
     loose = free & ~own
-    out = tracklets
-    for prefix, threshold, k, ok in (("main", strict, M.top_k, main_ok), ("soft", F.lit(M.soft), 2, loose),
-                                     ("near", F.lit(M.near), 2, loose), ("capped", F.lit(M.capped), 2, loose),
-                                     ("fresh", F.lit(M.threshold), M.top_k, loose), ("open", F.lit(M.near), 1, F.lit(True))):
-        out = out.join(leaders(scored, threshold, k, ok, prefix), "tracklet_id", "left")
+    led = all_leaders(scored, [
+        ("main", strict, M.top_k, main_ok), ("soft", F.lit(M.soft), 2, loose), ("near", F.lit(M.near), 2, loose), ("capped", F.lit(M.capped), 2, loose),
+        ("fresh", F.lit(M.threshold), M.top_k, loose), ("open", F.lit(M.near), 1, F.lit(True))])
+    out = tracklets.join(led, "tracklet_id", "left")
     for name in ("current", "hint"):
         asked = tracklets.where(F.col(f"{name}_id").isNotNull()).select(
             F.col("tracklet_id").alias("query_id"), F.col(f"{name}_id").alias("entity_id"), "vec")
