@@ -273,7 +273,12 @@ def _(spark, sf):
                                           F.round("score", 6).alias("score"))
 
 
-@register("provisional_matches")
+@register("provisional_matches", f"""WITH c AS ({_cascade_sql('true', ('method', 'suggested_id', 'score', 'runner_up'))}), {TR},
+w AS (SELECT c.*, tr.* EXCLUDE (tracklet_id), c.score >= 0.55 AND entry_count <= 8 AND tracklet_id * 3 - (suggested_id * 12 - 40) BETWEEN 1 AND 120 AS back
+  FROM c JOIN tr USING (tracklet_id) WHERE method = 'near_gallery_deferred' AND own % 6 <> 1)
+SELECT tracklet_id, suggested_id AS entity_id, 'occlusion_provisional_match' AS method, back AS short_reentry, score FROM w
+WHERE score >= CASE WHEN back THEN 0.55 ELSE 0.75 END AND coalesce(score - runner_up >= 0.03, true) AND max_overlap < 0.4
+  AND (v_avg < 0.65 OR track_id < 0 OR max_overlap >= 0.35 OR back)""")
 def _(spark, sf):
     rows = decided(spark, sf).withColumn("device_id", F.lit("dev0")).withColumn("frame_start", F.col("tracklet_id") * 3)
     rows = rows.withColumn("first_box", F.struct(*[F.lit(x).alias(n) for n, x in zip(("x1", "y1", "x2", "y2"), (10.0, 10.0, 60.0, 160.0))]))

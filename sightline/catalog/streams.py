@@ -111,7 +111,7 @@ def _(spark, sf):
     return spark.read.parquet(f"{where}/out").select("device_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("count").alias("n"))
 
 
-@register("stream_detection_sink")
+@register("stream_detection_sink", "SELECT concat('dev', l_orderkey % 4) AS key, count(*) AS n FROM lineitem GROUP BY 1")
 def _(spark, sf):
     raw = frames.frame_stream(spark, sf, schema=d.table(spark, sf, "lineitem").schema, glob="lineitem.parquet")
     one = raw.select(F.concat(F.lit("dev"), F.col("l_orderkey") % 4).alias("device_id"), F.floor(F.col("l_orderkey") / 4).alias("frame_number"),
@@ -141,7 +141,18 @@ def _(spark, sf):
     return clusters.clustered(rows).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@register("fragment_recovery")
+FR = d.OBS + ", " + d.GAL + """, cb AS (SELECT frame_no AS box_id, device_id, frame_no, x1, y1, x2, y2, v_score, vec, frame_no % 3 + 1 AS entry_count FROM obs
+  JOIN gal ON point_id = obs.entity_id * 4 + obs.frame_no % 4),
+cp AS (SELECT a.box_id AS tail, b.box_id AS head, sqrt(((a.x1+a.x2)/2 - (b.x1+b.x2)/2)**2 + ((a.y1+a.y2)/2 - (b.y1+b.y2)/2)**2) / greatest(a.y2-a.y1, b.y2-b.y1, 1.0) AS c,
+  b.frame_no - a.frame_no AS g, b.v_score < 0.55 OR list_cosine_similarity(a.vec, b.vec) >= 0.62 AS alike
+  FROM cb a JOIN cb b ON a.device_id = b.device_id AND b.frame_no - a.frame_no BETWEEN 1 AND 180),
+cm AS (SELECT tail, head FROM (SELECT *, row_number() OVER (PARTITION BY tail ORDER BY c + g / 180, head) AS p, row_number() OVER (PARTITION BY head ORDER BY c + g / 180, tail) AS q
+  FROM cp WHERE c <= 1.8 AND alike) WHERE p = 1 AND q = 1)"""
+
+
+@register("fragment_recovery", f"""WITH RECURSIVE {FR}, ch AS (SELECT box_id, box_id AS root FROM cb WHERE box_id NOT IN (SELECT head FROM cm)
+  UNION ALL SELECT m.head, ch.root FROM ch JOIN cm m ON m.tail = ch.box_id)
+SELECT root AS cluster_id, count(*) AS fragments, sum(entry_count)::BIGINT AS entries FROM ch JOIN cb USING (box_id) GROUP BY 1 HAVING count(*) >= 2 AND sum(entry_count) >= 5""")
 def _(spark, sf):
     o = d.observations(spark, sf).withColumn("point_id", F.col("entity_id") * 4 + F.col("frame_no") % 4)
     rows = o.join(d.gallery(spark, sf).select("point_id", "vec"), "point_id").select(
