@@ -6,8 +6,10 @@ are asked for given candidate pairs, never for all pairs of entities.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from ..lineage import cut
 from . import ordered
 
 BUCKET = 4096
+#: windows in a chunk of the sweep for recent sightings
+CHUNK_WINDOWS = 64
+#: rows of its answer that are given out at a time
+SWEPT_ROWS = 1 << 16
 
 
 # recent sightings of other entities -----------------------------------------------------------
@@ -24,17 +30,96 @@ BUCKET = 4096
 
 def recent_others(rows: DataFrame, window: int, axis: str = "frame_no", strict: bool = True) -> DataFrame:
     """Per row and other entity of the device its last sighting within ``window``
-    before the row. Rows carry row_id, entity_id, track_id, device_id and a box."""
-    bucket = F.floor(F.col(axis) / window)
-    seen = rows.select("device_id", F.col("entity_id").alias("other_id"), F.col("track_id").alias("other_track"),
-                       F.col(axis).alias("_at"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")],
-                       F.explode(F.array(bucket, bucket + 1)).alias("_bucket"))
-    met = rows.withColumn("_bucket", bucket).join(seen, ["device_id", "_bucket"])
-    gap = F.col(axis) - F.col("_at")
-    met = met.where((gap >= (1 if strict else 0)) & (gap <= window) & (F.col("entity_id") != F.col("other_id")))
-    last = F.max_by(F.struct("other_track", "o_x1", "o_y1", "o_x2", "o_y2", gap.alias("gap")), "_at")
-    per = met.groupBy("row_id", "entity_id", "track_id", "x1", "y1", "x2", "y2", "other_id").agg(last.alias("_l"))
-    return per.select("row_id", "entity_id", "track_id", "x1", "y1", "x2", "y2", "other_id", "_l.*")
+    before the row. Rows carry row_id, entity_id, track_id, device_id and a box.
+
+    A device's axis is cut into chunks of many windows; a chunk also gets the rows of the window before it. Each is swept once in order, with
+    the last sighting of every entity at hand, so nothing but the answer is ever a row. Rows at the same place see each other
+    only if not ``strict``.
+    """
+    span = window * CHUNK_WINDOWS
+    own = F.floor(F.col(axis) / span)
+    tail = F.floor((F.col(axis) + window) / span)
+    cols = ["row_id", "entity_id", "track_id", "x1", "y1", "x2", "y2"]
+    # at one place questions come before sightings, or after them
+    turns = F.array(F.struct(F.lit(True).alias("asks"), F.lit(0 if strict else 1).alias("turn"), own.alias("chunk")),
+                    F.struct(F.lit(False).alias("asks"), F.lit(1 if strict else 0).alias("turn"), own.alias("chunk")),
+                    F.struct(F.lit(False).alias("asks"), F.lit(0).alias("turn"), tail.alias("chunk")))
+    placed = rows.select("device_id", *cols, F.col(axis).alias("_at"), F.explode(F.when(tail > own, turns).otherwise(F.slice(turns, 1, 2))).alias("_p")).select(
+        "device_id", *cols, "_at", F.col("_p.asks").alias("_asks"), F.col("_p.turn").alias("_turn"), F.col("_p.chunk").alias("_chunk"))
+    stream = placed.repartition("device_id", "_chunk").sortWithinPartitions("device_id", "_chunk", "_at", "_turn", "row_id")
+    kind = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    fields = ", ".join(f"`{c}` {kind[c]}" for c in cols)
+    fields += f", other_id {kind['entity_id']}, other_track {kind['track_id']}, o_x1 double, o_y1 double, o_x2 double, o_y2 double, gap {kind['_at']}"
+
+    def answers(batch: pa.RecordBatch, ask: list[np.ndarray], hit: list[tuple]) -> pa.RecordBatch:
+        index, parts = np.concatenate(ask), [np.concatenate(c) for c in zip(*hit)]
+        taken = batch.take(pa.array(index))
+        gap = batch.column("_at").to_numpy()[index] - parts[2]
+        return pa.RecordBatch.from_arrays(
+            [*(taken.column(c) for c in cols), pa.array(parts[0].tolist(), batch.schema.field("entity_id").type), pa.array(parts[1].tolist(), batch.schema.field("track_id").type),
+             *(pa.array(parts[3][:, k]) for k in range(4)), pa.array(gap.tolist(), batch.schema.field("_at").type)],
+            [*cols, "other_id", "other_track", "o_x1", "o_y1", "o_x2", "o_y2", "gap"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, now = _LastSeen(window), None
+        for batch in batches:
+            ask, hit, n = [], [], 0
+            device, chunk, asks, at, entity, track = (batch.column(c).to_pylist() for c in ("device_id", "_chunk", "_asks", "_at", "entity_id", "track_id"))
+            box = np.stack([batch.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1).astype(float)
+            for i in range(batch.num_rows):
+                if (device[i], chunk[i]) != now:
+                    now = (device[i], chunk[i])
+                    seen = _LastSeen(window)
+                if not asks[i]:
+                    seen.add(at[i], entity[i], track[i], box[i])
+                else:
+                    found = seen.others(at[i], entity[i])
+                    ask.append(np.full(len(found[0]), i))
+                    hit.append(found)
+                    n += len(found[0])
+                if n > SWEPT_ROWS:
+                    yield answers(batch, ask, hit)
+                    ask, hit, n = [], [], 0
+            if ask:
+                yield answers(batch, ask, hit)
+
+    return stream.mapInArrow(sweep, fields)
+
+
+class _LastSeen:
+    """The last sighting of each entity, as arrays that forget what the window has left behind."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.slot = window, {}
+        self.entity, self.track = np.empty(64, object), np.empty(64, object)
+        self.at, self.box = np.zeros(64, np.int64), np.zeros((64, 4))
+
+    def add(self, at: int, entity, track, box: np.ndarray) -> None:
+        k = self.slot.get(entity)
+        if k is None:
+            if len(self.slot) == len(self.at):
+                self._shrink(at)
+            k = self.slot[entity] = len(self.slot)
+        self.entity[k], self.track[k], self.at[k], self.box[k] = entity, track, at, box
+
+    def _shrink(self, at: int) -> None:
+        """Drop what is out of reach; grow if most is not."""
+        live = np.flatnonzero(self.at[:len(self.slot)] >= at - self.window)
+        size = max(64, 2 * len(live))
+        for name in ("entity", "track", "at", "box"):
+            old = getattr(self, name)
+            new = np.zeros((size, *old.shape[1:]), old.dtype)
+            new[:len(live)] = old[live]
+            setattr(self, name, new)
+        self.slot = {e: k for k, e in enumerate(self.entity[:len(live)])}
+
+    def others(self, at: int, entity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.slot)
+        near = self.at[:n] >= at - self.window
+        k = self.slot.get(entity)
+        if k is not None:
+            near[k] = False
+        return self.entity[:n][near], self.track[:n][near], self.at[:n][near], self.box[:n][near]
 
 
 def _pair() -> tuple[g.Box, g.Box]:
