@@ -304,7 +304,7 @@ def test_oracles_match(spark):
     import __spark_entry__ as entry
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = entry.queries()[name](spark, "/root/testdata/sf0.001")
