@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..lineage import cut
 
 CELL = 512
 #: boxes in a cell from which on it is cut into cells of FINE pixels
@@ -76,39 +77,39 @@ def union_area(rects: Column) -> Column:
 def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME, cell: int = CELL) -> DataFrame:
     """Per box the area that other boxes of its frame cover.
 
-    Boxes are gathered cell by cell with one shuffle and the union is taken inside a cell, so the parts add up. A cell holds boxes of one
-    frame, which came in one message. Crowded cells are cut into small ones, whose boxes are counted on a grid. Boxes equal
-    within a pixel count as the same box.
+    The union is taken cell by cell and summed, so one list never holds more rectangles than meet the box inside one cell. Cells are counted
+    first: crowded ones are cut into small ones, whose boxes are counted on a grid. Boxes equal within a pixel count as the same box.
     """
     cols = [key, *keys, "x1", "y1", "x2", "y2"]
     on = [*keys, "_cx", "_cy"]
 
-    def gathered(spread: DataFrame) -> DataFrame:
-        box = F.struct(F.col(key).alias("key"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
-        return spread.groupBy(*on).agg(F.collect_list(box).alias("_boxes")).where(F.size("_boxes") > 1)
-
-    cells = gathered(in_cells(boxes.select(*cols), cell))
-    few = cells.where(F.size("_boxes") <= CROWD)
-    one = few.select("_cx", "_cy", "_boxes", F.explode("_boxes").alias("_b"))
-    a = g.Box(*(F.col(f"_b.{c}") for c in ("x1", "y1", "x2", "y2")))
-    left, top = F.greatest(a.x1, F.col("_cx") * cell), F.greatest(a.y1, F.col("_cy") * cell)
-    right, bottom = F.least(a.x2, (F.col("_cx") + 1) * cell), F.least(a.y2, (F.col("_cy") + 1) * cell)
-    one = one.select(F.col("_b.key").alias(key), "_b", "_boxes", left.alias("_l"), top.alias("_t"), right.alias("_r"), bottom.alias("_d"))
-
-    def meets(o: Column) -> Column:
-        b = g.Box(*(o[c] for c in ("x1", "y1", "x2", "y2")))
-        return (b.x1 < F.col("_r")) & (b.x2 > F.col("_l")) & (b.y1 < F.col("_d")) & (b.y2 > F.col("_t")) & ~g.same_box(a, b)
-
-    def clipped(o: Column) -> Column:
-        return F.struct(F.greatest(o["x1"], F.col("_l")).alias("x1"), F.greatest(o["y1"], F.col("_t")).alias("y1"),
-                        F.least(o["x2"], F.col("_r")).alias("x2"), F.least(o["y2"], F.col("_d")).alias("y2"))
-
-    met = one.where((F.col("_r") > F.col("_l")) & (F.col("_d") > F.col("_t"))).withColumn("_rects", F.transform(F.filter("_boxes", meets), clipped)).where(F.size("_rects") > 0)
-    parts = met.select(key, union_area(F.col("_rects")).alias("part"))
+    spread = in_cells(boxes.select(*cols), cell)
+    full = cut(spread.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select(*on))
+    any_full = not full.isEmpty()
+    all_cells = spread
+    if any_full:
+        spread = all_cells.join(full, on, "left_anti")
+    l = spread.select(*on, key, *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
+    r = spread.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
+    a, b = g.box("a_"), g.box("b_")
+    rect = F.struct(
+        F.greatest(a.x1, b.x1, F.col("_cx") * cell).alias("x1"), F.greatest(a.y1, b.y1, F.col("_cy") * cell).alias("y1"),
+        F.least(a.x2, b.x2, (F.col("_cx") + 1) * cell).alias("x2"),
+        F.least(a.y2, b.y2, (F.col("_cy") + 1) * cell).alias("y2"),
+    )
+    pieces = (
+        l.join(r, on).where(~g.same_box(a, b)).withColumn("_rect", rect)
+        .where("_rect.x2 > _rect.x1 AND _rect.y2 > _rect.y1")
+        # the join already placed all rows of a cell together, so this grouping moves nothing
+        .groupBy(*on, key).agg(F.collect_set("_rect").alias("_rects"))
+    )
+    parts = pieces.select(key, union_area(F.col("_rects")).alias("part"))
+    if not any_full:
+        return parts.groupBy(key).agg(F.sum("part").alias("covered"))
 
-    crowded = cells.where(F.size("_boxes") > CROWD)
+    box = F.struct(F.col(key).alias("key"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
     low, high = (lambda c: F.floor(F.greatest(F.col(f"_b.{c}1"), F.col(f"_c{c}") * cell) / FINE)), (lambda c: F.ceil(F.least(F.col(f"_b.{c}2"), (F.col(f"_c{c}") + 1) * cell) / FINE) - 1)
-    fine = crowded.select(*on, F.explode("_boxes").alias("_b"))
+    fine = all_cells.join(full, on, "left_semi").select(*on, box.alias("_b"))
     for c in "xy":
         fine = fine.withColumn(f"_f{c}", F.explode(F.when(high(c) >= low(c), F.sequence(low(c), high(c)))))
     fine = fine.groupBy(*keys, "_fx", "_fy").agg(F.collect_list("_b").alias("_boxes")).where(F.size("_boxes") > 1).select("_fx", "_fy", "_boxes")
