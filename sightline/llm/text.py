@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import ensure_checkpoint_dir
+
 #: words of the corpus: runs of anything but ASCII white space; ``bytes.split()`` cuts at the same bytes
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,3 +60,16 @@ def map_slices(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch],
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of text in the whole table, which size partitions and sketches."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to shared storage as a table and read again: columns take a fraction of the room that checkpointed rows do."""
+    path = path or shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
