@@ -287,24 +287,59 @@ def closest_transition(pairs: DataFrame, tracklets: DataFrame, max_gap: int, buc
     return best.select("entity_a", "entity_b", f"within_{max_gap}.*").drop("a_tracklet_id", "b_tracklet_id", "turn")
 
 
-def nearby_pairs(tracklets: DataFrame, max_gap: int, max_centre: float, bucket: int = BUCKET) -> DataFrame:
-    """Pairs of entities with some hand-over close in time and space, found by a
-    range join over all tracklets of a device."""
-    cols = ["device_id", "tracklet_id", "frame_start", "frame_end", "first_box", "last_box"]
-
-    def side(s: str, widen: int) -> DataFrame:
-        named = tracklets.select(F.col("entity_id").alias(f"entity_{s}"), "device_id",
-                                 *[F.col(c).alias(f"{s}_{c}") for c in cols[1:]])
-        low = F.floor((F.col(f"{s}_frame_start") - widen) / bucket)
-        return named.withColumn("_low", low).withColumn(
-            "_bucket", F.explode(F.sequence(low, F.floor((F.col(f"{s}_frame_end") + widen) / bucket))))
-    a = side("a", max_gap).withColumnRenamed("_low", "_la")
-    b = side("b", 0).withColumnRenamed("_low", "_lb")
-    met = a.join(b, ["device_id", "_bucket"]).where(
-        (F.col("entity_a") < F.col("entity_b")) & (F.col("_bucket") == F.greatest("_la", "_lb"))
-        & (F.col("a_frame_start") - max_gap <= F.col("b_frame_end")) & (F.col("b_frame_start") <= F.col("a_frame_end") + max_gap))
-    near = g.centre_ratio(g.box("box_a."), g.box("box_b.")) <= max_centre
-    return _transitions(met).where(near).select("entity_a", "entity_b").distinct()
+def handovers(tracklets: DataFrame, max_gap: int, max_centre: float) -> DataFrame:
+    """(entity_a, entity_b, device_id, a_tracklet_id, b_tracklet_id): entity_a leaves a place where entity_b, another one, has arrived
+    before or arrives at most ``max_gap`` frames later, and boxes are within ``max_centre`` sizes. Each is a row once, and no other
+    pair is a row.
+
+    They meet in cells of time and place. The reach in place grows with the larger box, so boxes have levels of doubling size: the larger
+    one is in the four cells of its level that its reach touches, the smaller one in a single cell of each level above its own. Cells
+    of time are as long as a tracklet with its slack on average, so all tracklets together are in three cells each at most.
+    """
+    slack = F.lit(max_gap)
+
+    def side(s: str, box: str, widen: Column) -> DataFrame:
+        b = g.box(f"{box}.")
+        x, y = g.centre(b)
+        named = tracklets.where(F.col(box).isNotNull()).select(
+            F.col("entity_id").alias(f"entity_{s}"), "device_id", F.col("tracklet_id").alias(f"{s}_tracklet_id"), F.col(box).alias(f"box_{s}"),
+            F.col("frame_start").alias(f"{s}_from"), (F.col("frame_end") + widen).alias(f"{s}_to"), F.ceil(F.log2(g.size(b))).cast("int").alias("_own"), x.alias("_x"), y.alias("_y"))
+        first = F.floor(F.col(f"{s}_from") / width)
+        return named.withColumn(f"_{s}_first", first).withColumn("_time", F.explode(F.sequence(first, F.floor(F.col(f"{s}_to") / width))))
+
+    levels = F.collect_set(F.ceil(F.log2(g.size(g.box("_b.")))).cast("int"))  # doublings of a box's size: a few dozen at most
+    ends = tracklets.select((F.col("frame_end") - F.col("frame_start") + slack).alias("_n"), F.explode(F.array("first_box", "last_box")).alias("_b"))
+    found = ends.where(F.col("_b").isNotNull()).agg(F.avg("_n").alias("n"), levels.alias("levels")).first()
+    width, known = max(1, round(found.n or 1)), F.array(*[F.lit(x) for x in sorted(found.levels)]).cast("array<int>")
+    leave, arrive = side("a", "last_box", slack), side("b", "first_box", F.lit(0))
+
+    def cell(level: Column) -> Column:  # twice the reach, and a little more for rounding
+        return F.pow(F.lit(2.0), level) * (2.000002 * max_centre)
+
+    def wide(rows: DataFrame) -> DataFrame:
+        w = cell(F.col("_own"))
+        near = [F.array_distinct(F.array(F.floor(F.col(c) / w - 0.5), F.floor(F.col(c) / w + 0.5))) for c in ("_x", "_y")]
+        return rows.withColumn("_level", F.col("_own")).withColumn("_cx", F.explode(near[0])).withColumn("_cy", F.explode(near[1])).drop("_x", "_y", "_own")
+
+    def narrow(rows: DataFrame, strict: bool) -> DataFrame:
+        above = F.filter(known, lambda x: x > F.col("_own") if strict else x >= F.col("_own"))
+        rows = rows.withColumn("_level", F.explode(above))
+        return rows.withColumn("_cx", F.floor(F.col("_x") / cell(F.col("_level")))).withColumn("_cy", F.floor(F.col("_y") / cell(F.col("_level")))).drop("_x", "_y", "_own")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b, ["device_id", "_time", "_level", "_cx", "_cy"])
+        return both.where(
+            (F.col("entity_a") != F.col("entity_b")) & (F.col("_time") == F.greatest("_a_first", "_b_first"))
+            & (F.col("a_from") <= F.col("b_to")) & (F.col("b_from") <= F.col("a_to"))
+            & (g.centre_ratio(g.box("box_a."), g.box("box_b.")) <= max_centre)).select("entity_a", "entity_b", "device_id", "a_tracklet_id", "b_tracklet_id")
+
+    return met(wide(leave), narrow(arrive, False)).unionByName(met(narrow(leave, True), wide(arrive)))
+
+
+def nearby_pairs(tracklets: DataFrame, max_gap: int, max_centre: float) -> DataFrame:
+    """Pairs of entities with some hand-over close in time and space."""
+    found = handovers(tracklets, max_gap, max_centre)
+    return found.select(F.least("entity_a", "entity_b").alias("entity_a"), F.greatest("entity_a", "entity_b").alias("entity_b")).distinct()
 
 
 def device_counts(pairs: DataFrame, tracklets: DataFrame) -> DataFrame:
