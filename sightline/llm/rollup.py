@@ -1,12 +1,14 @@
 """Token totals kept by deltas.
 
 A batch of changes (insert, delete, revise) becomes signed rows by document; their sums by source, language and tokenizer version
-are the batch's delta. A batch is written under its own name, so committing it again replaces it and changes no total. Totals are
-the sum of the committed deltas; the last state of each document says what a delete or a revision takes back.
+are the batch's delta. State and delta of a batch go to folders of the attempt; a manifest that names them, written last, commits both
+at once, so a lost attempt leaves nothing and committing again changes no total. Totals are the sum of the committed deltas; the last
+state of each document says what a delete or a revision takes back.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +20,7 @@ from .text import WORD, slices, strings
 
 GROUP = ("source", "lang", "version")
 STATE = "doc_id long, source string, lang string, version string, tokens long, alive boolean, batch long"
+MANIFEST = "batch long, attempt string"
 DELTA = "source string, lang string, version string, docs long, tokens long, batch long"
 
 
@@ -42,7 +45,7 @@ def bpe_counts(docs: DataFrame, path: str, name: str) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share: ``state`` and ``delta``, a sub-folder a batch.
+    """Totals in a folder that all executors share: ``state`` and ``delta``, a sub-folder an attempt, and ``commit``, a manifest a batch.
 
     ``tokenizers`` maps a version to a path of BPE ranks, or to a function from the text column to a count.
     """
@@ -50,16 +53,16 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str, tokenizers: dict[str, str | Callable[[Column], Column]]) -> None:
         self.spark, self.folder, self.tokenizers = spark, folder.rstrip("/"), tokenizers
 
-    def _path(self, what: str, batch: int) -> str:
-        return f"{self.folder}/{what}/batch={batch:08d}"
-
-    def _read(self, what: str, schema: str, before: int | None = None) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{what}")
+    def _committed(self) -> dict[int, str]:
+        """The attempt that each committed batch is made of. The manifests are a line a batch."""
+        of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        path = of(f"{self.folder}/commit")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        names = [str(s.getPath()) for s in fs.listStatus(path) if fs.exists(done(f"{s.getPath()}/_SUCCESS"))] if fs.exists(path) else []
-        if before is not None:
-            names = [n for n in names if int(n.rpartition("=")[2]) < before]
+        names = [str(s.getPath()) for s in fs.listStatus(path) if fs.exists(of(f"{s.getPath()}/_SUCCESS"))] if fs.exists(path) else []
+        return {r.batch: r.attempt for r in self.spark.read.schema(MANIFEST).parquet(*names).collect()} if names else {}
+
+    def _read(self, what: str, schema: str, attempts: list[str]) -> DataFrame:
+        names = [f"{self.folder}/{what}/{x}" for x in attempts]
         return self.spark.read.schema(schema).parquet(*names) if names else self.spark.createDataFrame([], schema)
 
     def _counted(self, rows: DataFrame) -> DataFrame:
@@ -74,11 +77,19 @@ class Rollup:
         return out.select("doc_id", "source", "lang", "alive", pairs.alias("t")).select("doc_id", "source", "lang", "t.version", "t.tokens", "alive")
 
     def commit(self, batch: int, changes: DataFrame) -> None:
-        """Apply ``changes`` (op, doc_id, text, source, lang) as batch number ``batch``; later batches must not be committed yet.
+        """Apply ``changes`` (op, doc_id, text, source, lang) as batch number ``batch``.
 
+        Committing the last batch again replaces it. A committed batch that others followed stays as it is; a new batch
+        below the last is a ValueError, since what it takes back would depend on what came after it.
         op is insert, revise (both set the document's counts) or delete. Of several changes of a document the greatest by (op, text, source, lang) counts, whatever
         their order; null ids and unknown ops are ignored; deleting what isn't there changes nothing; a null text has no tokens.
         """
+        committed = self._committed()
+        if batch < max(committed, default=batch):
+            if batch in committed:
+                return
+            raise ValueError(f"batch {batch} comes after batch {max(committed)}")
+        attempt = f"batch={batch:08d}-{uuid.uuid4().hex}"
         known = changes.filter(F.col("doc_id").isNotNull() & F.col("op").isin("insert", "revise", "delete"))
         order = F.struct("op", F.xxhash64("text", "source", "lang").alias("h"))
         best = known.groupBy("doc_id").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("n"))
@@ -89,15 +100,17 @@ class Rollup:
             rows = known.join(many, "doc_id", "left").filter(F.col("best").isNull() | (order == F.col("best")))
         rows = rows.withColumn("alive", F.col("op") != "delete")
         fresh = self._counted(rows.filter("alive")).dropDuplicates(["doc_id", "version"])
-        old = self._last(self._read("state", STATE, batch).join(known.select("doc_id").distinct(), "doc_id", "left_semi")).filter("alive")
+        old = self._last(self._read("state", STATE, [a for b, a in committed.items() if b < batch]).join(known.select("doc_id").distinct(), "doc_id", "left_semi")).filter("alive")
         gone = rows.filter("not alive").select("doc_id").distinct()
         dead = old.join(gone, "doc_id", "left_semi").withColumn("alive", F.lit(False)).select(*fresh.columns)
         state = fresh.unionByName(dead).withColumn("batch", F.lit(batch).cast("long"))
-        state.select(*[c.split()[0] for c in STATE.split(", ")]).write.mode("overwrite").parquet(self._path("state", batch))
-        now = self.spark.read.schema(STATE).parquet(self._path("state", batch)).filter("alive")
+        state.select(*[c.split()[0] for c in STATE.split(", ")]).write.parquet(f"{self.folder}/state/{attempt}")
+        now = self._read("state", STATE, [attempt]).filter("alive")
         signed = now.select(*GROUP, F.lit(1).alias("d"), "tokens").unionByName(old.select(*GROUP, F.lit(-1).alias("d"), (-F.col("tokens")).alias("tokens")))
         delta = signed.groupBy(*GROUP).agg(F.sum("d").alias("docs"), F.sum("tokens").alias("tokens")).withColumn("batch", F.lit(batch).cast("long"))
-        delta.write.mode("overwrite").parquet(self._path("delta", batch))
+        delta.write.parquet(f"{self.folder}/delta/{attempt}")
+        done = self.spark.createDataFrame([(batch, attempt)], MANIFEST)
+        done.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commit/batch={batch:08d}")
 
     @staticmethod
     def _last(state: DataFrame) -> DataFrame:
@@ -106,4 +119,4 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) of all committed batches; groups whose documents are all gone are left out."""
-        return self._read("delta", DELTA).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0")
+        return self._read("delta", DELTA, list(self._committed().values())).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0")
