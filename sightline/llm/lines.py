@@ -1,6 +1,6 @@
 """Removal of repeated runs of lines, found by winnowing over line hashes. Built-in functions only.
 
-A run is ``min_lines`` consecutive lines with words, or one line of ``long_bytes`` bytes. Each window of ``min_lines`` line hashes
+A run is ``min_lines`` consecutive lines with words, or one line of ``long_bytes`` bytes or LONE_WORDS words. Each window of ``min_lines`` line hashes
 selects its minimum, the last one on ties, so every run that two places share has a fingerprint in both. Fingerprints that
 occur once are dropped; at the positions of the others the match is extended both ways to the runs that hold the fingerprint,
 and a run that started earlier in the corpus goes. Longer repeated runs are unions of these.
@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import WORD
+
 MIN_LINES = 2
 LONG_BYTES = 160
+#: a line of so many words is a run of its own, as is one of LONG_BYTES bytes
+LONE_WORDS = 5
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -24,19 +28,24 @@ def _fingerprints(docs: DataFrame, min_lines: int, long_bytes: int) -> DataFrame
     """A row for each selected line: its hash, where it is, and the lines around it, ``before`` of them ahead of it."""
     cut = F.split("text", "\n", -1)
     lines = F.filter(F.transform(cut, lambda x, i: F.struct(
-        i.alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), (F.octet_length(x) >= long_bytes).alias("long"),
-        x.rlike(HAS_WORD).alias("some"))), lambda s: s["some"])
-    rows = docs.select("_id", "_text", lines.alias("lines")).select("_id", "_text", "lines", F.col("lines.h").alias("h"), F.size("lines").alias("n"))
+        i.alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"),
+        ((F.octet_length(x) >= long_bytes) | (F.regexp_count(x, F.lit(WORD)) >= LONE_WORDS)).alias("long"), x.rlike(HAS_WORD).alias("some"))), lambda s: s["some"])
+    rows = docs.select("_id", "_text", lines.alias("lines"))
+    # arrays of their own, so that a window reads two hashes and not all of its text
+    rows = rows.select("_id", "_text", "lines", F.transform("lines", lambda s: s["h"]).alias("h"), F.size("lines").alias("n"))
     minima = F.transform(
         F.sequence(F.lit(0), F.col("n") - min_lines),
         lambda p: (p + min_lines - F.array_position(F.reverse(_at("h", p, min_lines)), F.array_min(_at("h", p, min_lines)))).cast("int"))
     minima = F.when(F.col("n") >= min_lines, minima).otherwise(F.array().cast("array<int>"))
     alone = F.transform(F.filter(F.transform(F.col("lines"), lambda s, i: F.struct(s["long"].alias("long"), i.alias("i"))), lambda s: s["long"]), lambda s: s["i"])
-    picked = rows.select("_id", "_text", "lines", "n", F.explode(F.array_union(minima, alone)).alias("m"))
-    before = F.least("m", F.lit(min_lines - 1))
-    return picked.select(
-        "_id", "_text", F.col("lines")[F.col("m")]["h"].alias("fp"), before.alias("before"),
-        F.transform(F.slice("lines", F.col("m") - before + 1, F.lit(2 * min_lines - 1)), lambda s: F.struct(s["line"].alias("line"), s["h"].alias("h"), s["g"].alias("g"), s["long"].alias("long"))).alias("near"))
+    rows = rows.select("_id", "_text", "lines", F.array_union(minima, alone).alias("at"))
+
+    def around(m: Column) -> Column:
+        before = F.least(m, F.lit(min_lines - 1))
+        near = F.transform(F.slice("lines", m - before + 1, F.lit(2 * min_lines - 1)), lambda s: F.struct(*[s[c].alias(c) for c in ("line", "h", "g", "long")]))
+        return F.struct(F.col("lines")[m]["h"].alias("fp"), before.alias("before"), near.alias("near"))
+
+    return rows.select("_id", "_text", F.explode(F.transform("at", around)).alias("one")).select("_id", "_text", "one.*")
 
 
 def _runs(found: DataFrame, min_lines: int) -> DataFrame:
@@ -80,8 +89,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = repeated_lines(docs.select(order.alias("_id"), mark.alias("_text"), F.col(text_col).alias("text")), min_lines, long_bytes)
     all_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order.alias("_id"), mark.alias("_text"))
     text = F.col("row")[text_col]
-    cut = F.split(text, "\n", -1)
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    joined = all_.join(gone, ["_id", "_text"], "left")
+    joined = all_.join(gone, ["_id", "_text"], "left").withColumn("_cut", F.split(text, "\n", -1))
+    cut = F.col("_cut")
+    left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone"))  # by a hash set: linear in the lines
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: cut[i]), "\n"))
     fields = [kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*fields, F.when(text.isNull(), 0).otherwise(F.size(cut)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))

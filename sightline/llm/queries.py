@@ -66,7 +66,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 pairs AS (SELECT doc_id, i, k, line, lead(line) OVER o AS line2, lead(i) OVER o AS i2 FROM filled WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-runs AS (SELECT doc_id, i, i AS last, line AS a, NULL AS b, 1 AS n FROM pairs WHERE strlen(line) >= 160
+runs AS (SELECT doc_id, i, i AS last, line AS a, NULL AS b, 1 AS n FROM pairs WHERE strlen(line) >= 160 OR len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5
          UNION ALL SELECT doc_id, i, i2, line, line2, 2 FROM pairs WHERE line2 IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b, n ORDER BY doc_id, i) AS r FROM runs),
 gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM ranked WHERE r > 1 UNION ALL SELECT doc_id, last FROM ranked WHERE r > 1)),
