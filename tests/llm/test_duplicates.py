@@ -77,7 +77,7 @@ def test_empty_tables(spark):
     assert decontam.flag(frame(spark, ODD), bench.limit(0)).filter("contaminated").count() == 0
 
 
-def brute_lines(rows, long_bytes=160):
+def brute_lines(rows, long_bytes=160, lone_words=5):
     seen, place = {}, []
     order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0))
     runs = {}
@@ -85,7 +85,7 @@ def brute_lines(rows, long_bytes=160):
         i, t = rows[r]
         ls = (t or "").split("\n") if t is not None else []
         full = [k for k, x in enumerate(ls) if re.search(r"[^\x20\x09-\x0D]", x)]
-        runs[r] = [([k], (ls[k],)) for k in full if len(ls[k].encode()) >= long_bytes] + [(full[j:j + 2], tuple(ls[k] for k in full[j:j + 2])) for j in range(len(full) - 1)]
+        runs[r] = [([k], (ls[k],)) for k in full if len(ls[k].encode()) >= long_bytes or len(re.findall(r"[^\x20\x09-\x0D]+", ls[k])) >= lone_words] + [(full[j:j + 2], tuple(ls[k] for k in full[j:j + 2])) for j in range(len(full) - 1)]
         for ks, content in runs[r]:
             at = (i is None, i or 0, ks[0])
             seen[content] = min(seen.get(content, at), at)
@@ -104,6 +104,18 @@ def test_line_dedup_on_odd_rows(spark):
     assert Counter(tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()) == brute_lines(rows)
 
 
+def test_a_lone_repeated_line_of_five_words_goes(spark):
+    rows = [(1, "one\nall rights reserved by us\ntwo"), (2, "three\nall rights reserved by us\nfour"), (3, "five\nall rights reserved\nsix"), (4, "seven\nall rights reserved\neight")]
+    got = {r.doc_id: r.text for r in lines.remove_repeated(frame(spark, rows)).collect()}
+    assert got == {**dict(rows), 2: "three\nfour"}
+
+
+def test_line_dedup_of_a_text_with_many_lines(spark):
+    rows = [(1, "\n".join(f"row {k % 30_000} of the one long table" for k in range(60_000)))]
+    got = lines.remove_repeated(frame(spark, rows)).collect()
+    assert got[0].text == "\n".join(rows[0][1].split("\n")[:30_000]) and (got[0].n_lines, got[0].n_removed) == (60_000, 30_000)
+
+
 def test_line_dedup_main_path_is_native(spark):
     plan = lines.remove_repeated(frame(spark, ODD))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|MapPartitions", plan)

@@ -153,6 +153,22 @@ def test_rollup_follows_changes(spark, tmp_path):
     assert total()[("s", "de", "w")] == (1, 2)
 
 
+def test_rollup_refuses_batches_out_of_order_and_ignores_lost_attempts(spark, tmp_path):
+    r = rollup.Rollup(spark, str(tmp_path), {"w": rollup.words()})
+    total = lambda: [(x.docs, x.tokens) for x in r.totals().collect()]
+    r.commit(1, changes(spark, [("insert", 1, "a b c", "s", "en")]))
+    r.commit(3, changes(spark, [("revise", 1, "a b", "s", "en")]))
+    r.commit(1, changes(spark, [("insert", 1, "a b c d e", "s", "en")]))  # committed and followed: nothing changes
+    assert total() == [(1, 2)]
+    with pytest.raises(ValueError):
+        r.commit(2, changes(spark, [("insert", 2, "x", "s", "en")]))
+    lost = spark.createDataFrame([("s", "en", "w", 7, 70, 4)], rollup.DELTA)  # an attempt that ended before its manifest
+    lost.write.parquet(f"{tmp_path}/delta/batch=00000004-lost")
+    assert total() == [(1, 2)]
+    r.commit(4, changes(spark, [("insert", 2, "x", "s", "en")]))
+    assert total() == [(2, 3)]
+
+
 def test_rollup_query_against_a_recount(spark, docs):
     import tiktoken  # noqa: F401
 
@@ -226,6 +242,24 @@ def test_toxicity_of_odd_rows(spark, docs, labels):
     assert toxicity.score(frame(spark, []), m, ["doc_id"]).count() == 0
 
 
+def test_every_unlabelled_text_takes_part(spark, monkeypatch):
+    """Spark's counts and slopes are those of all different word sets in memory; the bound of labelled rows doesn't touch them."""
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 10)
+    texts = [f"{a} {b} {c}" for a in ("red", "green", "blue") for b in ("cat", "dog") for c in range(400)] + ["red cat"] * 500 + ["", None]
+    docs = frame(spark, list(enumerate(texts)))
+    different = toxicity.featurise(docs.filter("text is not null"), []).filter(F.size("words") > 0).distinct()
+    sets = toxicity._different([toxicity.words_of(t) for t in texts if t])
+    in_u, n = toxicity.word_counts(different)
+    assert n == len(sets) and (in_u == np.bincount(np.concatenate(sets), minlength=toxicity.BUCKETS)).all()
+    words = np.unique(np.concatenate(sets))[:3]
+    rows = toxicity.cut_to(different, words)
+    assert rows.agg(F.sum("n")).first()[0] == n
+    weights = np.array([[0.5, -1.0, 2.0, -0.3], [0.0, 1.0, 0.0, 0.2]])
+    word, row = toxicity._pack(toxicity._numbered(sets, words))
+    want = [toxicity._slope(word, row, np.full(n, 1 / n), w) for w in weights]
+    assert np.allclose(toxicity.free_slopes(rows, n)(weights), want)
+
+
 def test_pu_learning_sees_through_toxic_texts_among_the_unlabelled():
     rng = np.random.default_rng(1)
     text = lambda bad: np.unique(np.append(rng.integers(100, 900, 40), rng.integers(0, 5, 3) if bad else [])).astype(np.int32)
