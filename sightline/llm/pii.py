@@ -1,6 +1,6 @@
 """Personal data replaced by surrogates.
 
-Entities are found by patterns and normalised. A surrogate is drawn from a keyed hash of type and normalised value, so every
+Entities are found by patterns and normalised; a name that a title or a first name shows is then replaced wherever its text has it. A surrogate is drawn from a keyed hash of type and normalised value, so every
 mention of an entity in the corpus gets the same one; it keeps type, length, script, gender and format. A check over all
 entities redraws surrogates that two entities share or that are themselves real. Only redrawn ones are looked up afterwards.
 """
@@ -40,7 +40,16 @@ PATTERNS = (
     ("person", rf"\b(?:{'|'.join(WOMEN + MEN)}) (?:{_CAP})\b"),
 )
 SEARCH = re.compile("|".join(f"(?P<{name}>{p})" for name, p in PATTERNS))
-PHONE_DIGITS = (9, 15)
+PHONE_DIGITS = (7, 15)
+#: numbers with fewer digits are phones only if they are written like one or stand behind a word that says so
+SURE_DIGITS = 9
+SHORT_PHONE = re.compile(r"\d{3}[.\-]\d{4}")
+CUE = re.compile(r"(?:tel|tél|phone|fon|call|fax|mobile|móvil|teléfono|téléphone|handy|ruf)\w*\W{0,3}$", re.IGNORECASE)
+DATE = re.compile(r"(?:19|20)\d\d([ .\-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])(?!\d)|(?:0?[1-9]|[12]\d|3[01])([ .\-])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d(?!\d)")
+#: how card numbers are grouped; other groupings need a right check digit
+CARD = re.compile(r"\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]?\d{1,4})?|\d{4}[ \-]\d{6}[ \-]\d{5}")
+#: tries after which a surrogate may be longer than the original
+TRIES = 8
 #: letter ranges by script, for surrogates in the script of the original
 SCRIPTS = (("a", "z"), ("а", "я"), ("α", "ρ"), ("א", "ת"), ("ا", "غ"), ("ぁ", "ん"), ("一", "鿿"), ("가", "힣"))
 
@@ -64,6 +73,36 @@ def _matches(text: str) -> Iterator[re.Match]:
 
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, type, normalised value) of the entities in a text, in order, without overlaps."""
+    shown = list(_shown(text))
+    names: dict[str, str] = {}
+    for _, _, kind, value in shown:
+        if kind == "surname" or kind.startswith("first_"):
+            names.setdefault(value, kind)
+    if names:
+        shown += _bare(text, names, [(a, b) for a, b, _, _ in shown])
+        shown.sort()
+    yield from shown
+
+
+def _bare(text: str, names: dict[str, str], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
+    """Other capitalised mentions of the names of a text."""
+    k = 0
+    for m in re.finditer(r"[^\W\d_]+", text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if m[0][0].isupper() and (kind := names.get(m[0].lower())) and (k == len(taken) or m.end() <= taken[k][0]):
+            yield m.start(), m.end(), kind, m[0].lower()
+
+
+def _phone(text: str, start: int, value: str) -> bool:
+    digits = sum(c.isdigit() for c in value)
+    if not PHONE_DIGITS[0] <= digits <= PHONE_DIGITS[1] or DATE.match(value):
+        return False
+    return digits >= SURE_DIGITS or bool(SHORT_PHONE.fullmatch(value)) or bool(CUE.search(text, max(0, start - 24), start))
+
+
+def _shown(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """What the patterns show."""
     for m in _matches(text):
         kind, value = m.lastgroup, m[0]
         if kind == "email":
@@ -76,9 +115,10 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
             for k, (at, name) in enumerate(names):
                 yield at, at + len(name), f"first_{gender}" if k == 0 and len(names) == 2 else "surname", name.lower()
         elif kind == "phone":
-            digits = sum(c.isdigit() for c in value)
-            if PHONE_DIGITS[0] <= digits <= PHONE_DIGITS[1]:
+            if _phone(text, m.start(), value):
                 yield m.start(), m.end(), kind, "+" * value.startswith("+") + "".join(c for c in value if c.isdigit())
+        elif kind == "card" and not (CARD.fullmatch(value) or luhn("".join(c for c in value if c.isdigit()))):
+            continue
         elif kind == "ip":
             yield m.start(), m.end(), kind, value
         elif kind == "secret":
@@ -130,25 +170,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _name(value: str, draw: _Draw, firsts: tuple[str, ...] = ()) -> str:
+def _name(value: str, draw: _Draw, firsts: tuple[str, ...] = (), more: int = 0) -> str:
     """A name of the pool, or letters of the same script; a second part keeps a large number of them apart."""
     latin = value.isascii() or max(value) < "ɐ"
     if not latin:
-        return _characters(value, draw)
+        return _characters(value + value[-1] * more, draw)
     soft, hard = "aeiou", "bdfgklmnprstv"
     tail = "".join(hard[draw(13)] + soft[draw(5)] for _ in range(5))
     return (firsts[draw(len(firsts))] + "-" + tail.capitalize() if firsts else tail.capitalize() + hard[draw(13)]).lower()
 
 
 def surrogate(kind: str, value: str, attempt: int, key: str = KEY) -> str:
-    """The surrogate of a normalised value, itself normalised."""
-    draw = _Draw(key, kind, value, str(attempt))
+    """The surrogate of a normalised value, itself normalised. It grows by a character every TRIES attempts, so no form runs out of them."""
+    draw, more = _Draw(key, kind, value, str(attempt)), attempt // TRIES
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_characters(local, draw)}@{_characters(host, draw)}.{top}"
+        return f"{_characters(local + 'a' * more, draw)}@{_characters(host, draw)}.{top}"
     if kind == "ip":
-        sizes = [len(p) for p in value.split(".")] if attempt < 8 else [3] * 4  # few addresses have short parts only
+        sizes = [len(p) for p in value.split(".")] if not more else [3] * 4  # few addresses have short parts only
         return ".".join(str(draw(10) if n == 1 else 10 + draw(90) if n == 2 else 100 + draw(156)) for n in sizes)
     if kind == "card":
         out = value[0] + _characters(value[1:], draw)
@@ -158,9 +198,11 @@ def surrogate(kind: str, value: str, attempt: int, key: str = KEY) -> str:
     if kind == "secret":
         return _characters(value, draw, hexadecimal=bool(re.fullmatch(r"[0-9a-fA-F]+", value)))
     if kind.startswith("first_"):
-        return _name(value, draw, {"f": WOMEN, "m": MEN}.get(kind[-1], WOMEN + MEN))
+        return _name(value, draw, {"f": WOMEN, "m": MEN}.get(kind[-1], WOMEN + MEN), more)
     if kind == "surname":
-        return _name(value, draw)
+        return _name(value, draw, more=more)
+    if kind == "phone":
+        value += "0" * more
     if value.startswith("+"):  # the country stays
         return value[:2] + _characters(value[2:], draw)
     return _characters(value, draw)
@@ -171,11 +213,12 @@ def render(mention: str, kind: str, new: str) -> str:
     if kind.startswith("first_") or kind == "surname":
         return new.upper() if mention.isupper() and len(mention) > 1 else "-".join(p.capitalize() for p in new.split("-"))
     if kind == "email":
-        return "".join(n.upper() if m.isupper() else n for m, n in zip(mention, new))
+        at = new.index("@") - mention.index("@")  # what it has grown by
+        return new[:at] + "".join(n.upper() if m.isupper() else n for m, n in zip(mention, new[at:]))
     if kind in ("secret", "ip"):
         return new
     left = (c for c in new if c.isalnum())
-    return "".join(next(left) if c.isalnum() else c for c in mention)
+    return "".join(next(left) if c.isalnum() else c for c in mention) + "".join(left)
 
 
 def entities(docs: DataFrame) -> DataFrame:
