@@ -71,6 +71,36 @@ def test_collisions_are_redrawn(spark):
     assert len({x.text for x in pii.replace(frame(spark, text), key="other").collect()} & set(got)) < len(got)
 
 
+@pytest.mark.parametrize("text,found", [
+    ("Maria Lopez came. Later Lopez said hi; Maria left, LOPEZ too.", ["Maria", "Lopez", "Lopez", "Maria", "LOPEZ"]),
+    ("We met Lopez in the town.", []),
+    ("Mr. Smith, Smithson and smith", ["Smith"]),
+    ("Dial 555-0123 or tel. 1234 5678, call: 12 34 567", ["555-0123", "1234 5678", "12 34 567"]),
+    ("From 1999-2000, 12 34 567 items", []),
+    ("On 2020-01-02 10 of 31.12.1999 07 we met", []),
+    ("Codes 10-20-30 45 66 1999 2000 here", []),
+    ("Card 4532 0151 1283 0366 and 4532-0151-1283-0367", ["4532 0151 1283 0366", "4532-0151-1283-0367"]),
+])
+def test_what_is_personal(text, found):
+    assert [text[a:b] for a, b, _, _ in pii.find(text)] == found
+
+
+def test_a_name_keeps_its_surrogate_in_its_text(spark):
+    text = "Maria Lopez came. Later Lopez said hi; Maria left."
+    new = pii.replace(frame(spark, [(1, text)])).first().text
+    first, last = re.match(r"([\w-]+) ([\w-]+) came", new).groups()
+    assert new == f"{first} {last} came. Later {last} said hi; {first} left."
+
+
+def test_forms_do_not_run_out(spark):
+    """Every address of one letter before and after the sign is real: surrogates become longer."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [f"{a}@{b}.com" for a in letters for b in letters]
+    got = [r.text for r in pii.replace(frame(spark, [(k, v.upper() if k == 0 else v) for k, v in enumerate(values)])).collect()]
+    assert len({x.lower() for x in got}) == len(values) and not {x.lower() for x in got} & set(values)
+    assert all(re.fullmatch(r"\w+@\w\.com", x.lower()) for x in got)
+
+
 def test_no_entity_of_the_corpus_is_left(spark, docs):
     real = {(r.kind, r.value) for r in pii.entities(docs.select(F.col("doc_id").alias("_key"), "text")).collect()}
     left = {(r.kind, r.value) for r in pii.entities(queries.op2(spark, SF).select(F.col("doc_id").alias("_key"), "text")).collect()}
