@@ -1,6 +1,7 @@
 """Block-wise comparison equals brute force for any block size."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,43 @@ def test_two_sided_hits(spark):
     assert got == {(i, j) for i in range(40) for j in range(90) if s[i, j] >= 0.6}
 
 
+def test_tasks_do_not_grow_with_the_blocks(spark):
+    df, _ = points(spark, 800)
+
+    def kernel(met):
+        yield pd.DataFrame({"tiles": [sum(1 for _ in met)]})
+
+    tasks = [r.tiles for r in tiles.compare(df, None, kernel, "tiles long", block=8).collect() if r.tiles]
+    assert len(tasks) <= tiles.SHARES * (tiles.SHARES + 1) // 2
+    assert sum(tasks) > 4000  # some hundred blocks meet each other
+
+
+@pytest.mark.parametrize("keep", [1, 3])
+def test_nearest_tags_with_ties(spark, keep):
+    df, u = points(spark, 90, groups=30)
+    df, u = df.union(df.selectExpr("id + 90", "tag + 30", "vec")), np.vstack([u, u])  # every tag has an exact copy
+    got = {(r.left_tag, r.right_tag): r.score for r in tiles.nearest_tags(df, None, 0.1, keep, block=17).collect()}
+    tag, scores = np.r_[np.arange(90) % 30, np.arange(90) % 30 + 30], u @ u.T
+    for a in range(60):
+        best = {b: scores[np.ix_(tag == a, tag == b)].max() for b in range(60) if b != a}
+        reach = {b: x for b, x in best.items() if x >= 0.1}
+        mine = {b: x for (t, b), x in got.items() if t == a}
+        assert len(mine) == min(keep, len(reach))
+        assert sorted(mine.values(), reverse=True) == pytest.approx(sorted(reach.values(), reverse=True)[:keep])
+        assert all(x == pytest.approx(reach[b]) for b, x in mine.items())
+
+
+def test_closest_entities_skip_the_excluded(spark):
+    df, _ = points(spark, 60, groups=12)
+    g = df.selectExpr("id AS point_id", "tag AS entity_id", "vec")
+    pairs = similarity.entity_pairs(g, 0.0)
+    first = similarity.duplicate_candidates(pairs, 0.0)
+    barred = first.select("entity_id", "other_id")
+    want = similarity.duplicate_candidates(pairs, 0.0, excluded=barred).select("entity_id", "other_id").collect()
+    got = similarity.closest_entities(g, 0.0, 0.0, excluded=barred).select("entity_id", "other_id").collect()
+    assert sorted(got) == sorted(want) and want
+
+
 def test_zero_vector_and_empty_gallery(spark):
     q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "query_id long, vec array<double>")
     g = spark.createDataFrame([(5, 7, [1.0, 0.1])], "point_id long, entity_id long, vec array<double>")
