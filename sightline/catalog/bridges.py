@@ -113,7 +113,7 @@ def tables_of(spark, sf) -> merge.Tables:
 
 def judged(spark, sf, optional=False):
     t = tables_of(spark, sf)
-    near = similarity.duplicate_candidates(cut(merge.candidate_pairs(t.gallery, FLOOR)), FLOOR, ranks=merge.M.retries)
+    near = similarity.closest_entities(t.gallery, FLOOR - merge.MARGIN_REACH, FLOOR, ranks=merge.M.retries)
     return merge.judged(near, t, optional)
 
 
