@@ -151,3 +151,30 @@ def test_tracklet_vectors_of_few_frames(spark):
     assert got["one"].vec == pytest.approx([0.6, 0.8]) and got["one"].consistency == 1.0
     assert got["crowd"].frames == [1, 2] and got["crowd"].vec[0] > 0.99
     assert got["zero"].vec == [0.0, 0.0]
+
+
+def test_weighted_mean_of_frames_without_weight(spark, tmp_path):
+    """A tracklet whose only frame has a visibility of 0 is not a number in SQL."""
+    import duckdb
+
+    from sightline import catalog
+
+    queries, sql = catalog.load()
+    sf = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 1000 < 2")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{sf}/embeddings.parquet").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("events", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {r[0]: repr(r[1:]) for r in con.execute(sql["weighted_vector_mean"]).fetchall()}
+    got = {r.tracklet_id: repr((r.first, r.last, r.total)) for r in queries["weighted_vector_mean"](spark, str(tmp_path)).collect()}
+    assert "(nan, nan, nan)" in want.values() and got == want
+
+
+def test_norms_are_worked_out_once_a_vector(spark):
+    from sightline.functions import vectors as v
+
+    plan = spark.createDataFrame([([1.0, 2.0],)], "vec array<double>").select(v.l2_normalise(F.col("vec")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ sqrt" not in plan.lower()  # the divisor of each element is a value, not an expression
