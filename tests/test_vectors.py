@@ -59,6 +59,33 @@ def test_nearest_tags_with_ties(spark, keep):
         assert all(x == pytest.approx(reach[b]) for b, x in mine.items())
 
 
+@pytest.mark.parametrize("keep", [1, 3])
+def test_best_two_of_the_leading_tags(spark, keep):
+    """Whatever the number of hits, a row keeps the tags that lead at some threshold, with both their scores; equal vectors tie by tag."""
+    thresholds = (0.1, 0.5, 0.8)
+    a, u = points(spark, 25, seed=1)
+    b, w = points(spark, 200, groups=40, seed=2)
+    b, w = b.union(b.selectExpr("id + 200", "tag + 40", "vec")), np.vstack([w, w])
+    got = {(r.left_id, r.right_tag): (r.first, r.second) for r in tiles.best_two(a, b, 0.1, keep, thresholds, 0.5, block=17).collect()}
+    tag, scores, want = np.r_[np.arange(200) % 40, np.arange(200) % 40 + 40], np.round(u @ w.T, 12), {}
+    for i in range(25):
+        two = {t: [s for s in sorted(scores[i][tag == t], reverse=True)[:2] if s >= 0.1] for t in range(80)}
+        for at in thresholds:
+            score = {t: sum(x for x in s if x >= at) / sum(x >= at for x in s) for t, s in two.items() if s and s[0] >= at}
+            for t in sorted(score, key=lambda t: (-score[t], t))[:keep]:
+                want[i, t] = tuple((two[t] + [None])[:2])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_point_scores_are_a_few_rows_a_tracklet(spark):
+    a, _ = points(spark, 10, seed=1)
+    b, _ = points(spark, 1500, dim=8, groups=1500, seed=2)
+    t, g = a.selectExpr("id AS tracklet_id", "vec"), b.selectExpr("id AS point_id", "tag AS entity_id", "vec").union(
+        a.crossJoin(spark.range(300).withColumnRenamed("id", "k")).selectExpr("5000 + id * 300 + k", "5000 + id * 300 + k", "vec"))
+    per = {r.tracklet_id: r["count"] for r in resolve.point_scores(t, g, block=64).groupBy("tracklet_id").count().collect()}
+    assert len(per) == 10 and max(per.values()) <= 5 * len(resolve.SEARCHES)
+
+
 def test_closest_entities_skip_the_excluded(spark):
     df, _ = points(spark, 60, groups=12)
     g = df.selectExpr("id AS point_id", "tag AS entity_id", "vec")
