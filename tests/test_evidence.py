@@ -208,3 +208,17 @@ def test_no_rows(spark):
     for keeper in (evidence.Clusters, evidence.Fragments):
         none = spark.createDataFrame([], f"device_id string, frame_no long, {keeper.ROW}")
         assert folds.fold(none, keeper).count() == 0
+
+
+def test_a_fragment_meets_all_open_chains_at_once(monkeypatch):
+    """No call for each pair of a fragment and an open chain: with hundreds open they took the time."""
+    monkeypatch.setattr(evidence, "_cosine", None)
+    keeper = evidence.Fragments("dev")
+    vectors = np.eye(8)
+    for frame in range(4):
+        keeper.frame(frame, [(frame * 8 + k, frame, frame, 1, 0.9, 10.0 * k, 0.0, 10.0 * k + 60, 150.0, vectors[k].tolist()) for k in range(8)])
+    keeper.end("end")
+    chains = {}
+    for row in keeper.out:
+        chains.setdefault(row[2], []).append(row[3])
+    assert sorted(c for c in chains) == list(range(8)) and all([b for b in boxes if b is not None] == [c, c + 8, c + 16, c + 24] for c, boxes in chains.items())
