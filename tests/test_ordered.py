@@ -143,3 +143,15 @@ def test_hysteresis_chunks_match_steps(spark):
         for g in got:
             cur, last, dis, conf, sup = want[(g.entity_id, g.task, g.n)]
             assert (g.current, g.dissent, g.support) == (cur, dis, sup) and abs(g.confidence - conf) < 1e-9
+
+
+def test_latest_states_without_a_row_a_vote(spark, monkeypatch):
+    r = random.Random(5)
+    data = [(e, task, i, r.choice(["a", "b", "unknown"]), round(r.uniform(0.5, 1.0), 3)) for e in range(6) for task in ("kind", "x") for i in range(5 + 30 * e)]
+    df = spark.createDataFrame(data, "entity_id long, task string, n long, label string, confidence double")
+    monkeypatch.setattr(hysteresis, "SLICE_VOTES", 20)
+    for size in (7, 1000):
+        want = hysteresis.snapshot(hysteresis.resolve(df, ["entity_id"], ["n"], "kind", chunk_rows=size), ["entity_id"], ["n"])
+        got = hysteresis.latest(df, ["entity_id"], ["n"], "kind", chunk_rows=size)
+        same(got, want)
+        assert got.count() == 12 and "Generate" not in got._jdf.queryExecution().executedPlan().toString()
