@@ -64,6 +64,13 @@ def folded(changes: DataFrame) -> DataFrame:
     return last.select(*keys, "_c.*").where("op <> 'drop'")
 
 
+def dropped(store: Store) -> DataFrame:
+    """Points that were in the gallery and are no more, as they were added last: what pruning took out."""
+    added = store.deltas("gallery").where("op = 'add'")
+    last = tables.latest_by(added, "point_id", ["batch"])
+    return last.join(points(store).select("point_id"), "point_id", "left_anti").drop("batch", "op")
+
+
 def change(rows: DataFrame, op: str) -> DataFrame:
     return rows.select("point_id", "entity_id", bucket().alias("bucket"), F.lit(op).alias("op"), "vec", "is_anchor", "added_at")
 

@@ -73,6 +73,13 @@ class Store:
         seen = [r for r in self.manifests() if r.name == name and (upto is None or r.batch <= upto)]
         bases = [r for r in seen if r.kind == "base"]
         parts = [r for r in seen if r.kind == "delta" and (not bases or r.seq > bases[-1].seq)] + bases[-1:]
+        return self._rows(name, parts)
+
+    def deltas(self, name: str) -> DataFrame:
+        """All rows that batches added, whatever was folded since, with their ``batch``."""
+        return self._rows(name, [r for r in self.manifests() if r.name == name and r.kind == "delta"])
+
+    def _rows(self, name: str, parts: list) -> DataFrame:
         out = self.spark.createDataFrame([], f"{self.schemas[name]}, batch long")
         for r in parts:
             out = out.unionByName(self.spark.read.option("basePath", r.folder).parquet(r.folder))

@@ -94,6 +94,32 @@ def test_a_point_added_and_dropped_in_one_batch_is_gone(spark):
     assert [r.point_id for r in process.points(s).collect()] == [1]
 
 
+def test_points_that_were_dropped_are_still_known(spark):
+    s = process.open_store(spark, scratch(spark))
+    some = point(spark, [(1, 1, True), (2, 1, False), (3, 1, False)])
+    s.commit(1, {"gallery": process.change(some.where("point_id < 3"), "add")}, process.PARTITIONS)
+    s.commit(2, {"gallery": process.change(some.where("point_id = 3"), "add").unionByName(process.change(some.where("point_id <> 1"), "drop"))}, process.PARTITIONS)
+    for _ in range(2):
+        assert [r.point_id for r in process.points(s).collect()] == [1]
+        assert sorted((r.point_id, r.entity_id, r.is_anchor) for r in process.dropped(s).collect()) == [(2, 1, False), (3, 1, False)]
+        process.compact(s)
+
+
+def test_a_crowded_gallery_lists_all_points_that_were_added(spark, monkeypatch):
+    """More points than a gallery keeps: the query has them all, as its SQL has."""
+    from sightline.catalog import processing, registry
+
+    s = process.open_store(spark, scratch(spark))
+    many = point(spark, [(i, 1, i == 0) for i in range(12)]).withColumn("added_at", F.timestamp_seconds("point_id"))
+    confirmed = many.select(F.col("point_id").alias("tracklet_id"), "entity_id", "vec", F.col("added_at").alias("ended_at"), F.when(F.col("is_anchor"), "new_identity").otherwise("gallery_match").alias("method"),
+                            *[F.lit(x).alias(c) for c, x in (("max_overlap", 0.0), ("overall", 1.0), ("v_avg", 1.0), ("vector_consistency", 1.0), ("entry_count", 9))])
+    s.commit(1, {"gallery": process.grown(s, confirmed, process.points(s))}, process.PARTITIONS)
+    assert process.points(s).count() == 8
+    monkeypatch.setattr(processing, "_two_batches", lambda *_: s)
+    got = registry.QUERIES["process_gallery"](spark, "").collect()
+    assert sorted((r.point_id, r.is_anchor) for r in got) == [(i, i == 0) for i in range(12)]
+
+
 def test_stored_batches_are_those_of_the_table(spark, tmp_path, monkeypatch):
     """Another table at the same path, or a store that is gone, is processed anew."""
     from sightline.catalog import processing
