@@ -362,7 +362,7 @@ def linked_new(decided: DataFrame, floor: float = M.threshold, block: int | None
     new = decided.where(F.col("method") == "new_identity").select(
         F.col("entity_id").alias("id"), F.col("entity_id").alias("tag"), "vec")
     pairs = tiles.hits(new, None, floor, block=block).select(
-        F.col("left_id").alias("entity_a"), F.col("right_id").alias("entity_b"), "score")
+        F.col("left_id").alias("entity_a"), F.col("right_id").alias("entity_b"), F.round("score", tiles.DIGITS).alias("score"))
     from .merge import mutual
     return mutual(pairs).select(F.col("entity_b").alias("source_id"), F.col("entity_a").alias("target_id"), "score")
 

@@ -120,6 +120,16 @@ def test_a_crowded_gallery_lists_all_points_that_were_added(spark, monkeypatch):
     assert sorted((r.point_id, r.is_anchor) for r in got) == [(i, i == 0) for i in range(12)]
 
 
+def test_new_vectors_that_tie_link_to_the_smallest_id(spark, monkeypatch):
+    """Products of equal vectors may differ in the last digit, by their place in a matrix; they tie all the same."""
+    from sightline.plans import resolve
+
+    scores = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9 + 2e-16), (2, 3, 0.9)], "left_id long, right_id long, score double")
+    monkeypatch.setattr(resolve.tiles, "hits", lambda *_, **__: scores)
+    new = spark.createDataFrame([(i, "new_identity", [1.0]) for i in (1, 2, 3)], "entity_id long, method string, vec array<double>")
+    assert [(r.source_id, r.target_id) for r in resolve.linked_new(new).collect()] == [(2, 1)]
+
+
 def test_stored_batches_are_those_of_the_table(spark, tmp_path, monkeypatch):
     """Another table at the same path, or a store that is gone, is processed anew."""
     from sightline.catalog import processing
