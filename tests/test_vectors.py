@@ -44,6 +44,25 @@ def test_tasks_do_not_grow_with_the_blocks(spark):
     assert sum(tasks) > 4000  # some hundred blocks meet each other
 
 
+def test_shares_are_shuffled_once_for_all_tasks(spark):
+    """A side is written once: what the shuffle moves doesn't grow with the tasks that read it."""
+    import numpy as np
+
+    vectors = np.linalg.qr(np.random.default_rng(1).normal(size=(512, 512)))[0]
+    rows = [(i, i, vectors[i].tolist()) for i in range(512)]
+    df = spark.createDataFrame(rows, "id long, tag long, vec array<double>").repartition(4).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executorList(False)))
+
+    before = shuffled()
+    assert len(tiles.hits(df, None, 0.5, block=32).collect()) == 0
+    moved = shuffled() - before
+    assert 0 < moved < 2 * 512 * 512 * 8
+
+
 @pytest.mark.parametrize("keep", [1, 3])
 def test_nearest_tags_with_ties(spark, keep):
     df, u = points(spark, 90, groups=30)
