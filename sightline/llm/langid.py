@@ -223,6 +223,7 @@ def build_all(counted: DataFrame) -> Model:
 @lru_cache(maxsize=1)
 def _loaded(folders: tuple[str, ...], n_langs: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """Codes, log probabilities and back-off weights by order; the files of a folder are in order of their names."""
+    _loaded.cache_clear()  # the model before goes before the next one comes
     out: tuple[list, list, list] = [], [], []
     for folder in folders:
         fs, path = pyarrow.fs.FileSystem.from_uri("/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
@@ -279,6 +280,51 @@ def calibrate(m: Model, h: np.ndarray, sizes: np.ndarray, right: np.ndarray) ->
     m.limit = float(np.quantile(h.min(axis=1), 0.999) + 0.5)
 
 
+def calibrate_all(m: Model, scored: DataFrame) -> None:
+    """``calibrate`` from any number of rows (truth, entropies, chars): Spark sums what a step of the fit needs over all of them, and counts
+    the lowest entropies, rounded to 4 decimals."""
+    by_value = F.sort_array("entropies")
+    lead = by_value[1] - by_value[0] if len(m.langs) > 1 else F.lit(1.0)
+    names = F.array(*map(F.lit, m.langs))
+    rows = stored(scored.filter("chars > 0").select(
+        (lead * F.sqrt(F.least("chars", F.lit(400)))).alias("x"), F.round(by_value[0], 4).alias("low"),
+        (F.element_at(names, F.array_position("entropies", by_value[0]).cast("int")) == F.col("truth")).cast("double").alias("y")))
+    theta = np.zeros(2)
+    for _ in range(50):
+        at = F.lit(float(theta[0])) * F.col("x") + F.lit(float(theta[1]))
+        p = 1 / (1 + F.exp(-F.least(F.greatest(at, F.lit(-30.0)), F.lit(30.0))))
+        w, off = p * (1 - p), p - F.col("y")
+        got = rows.agg(F.sum(w * F.col("x") * F.col("x")), F.sum(w * F.col("x")), F.sum(w), F.sum(off * F.col("x")), F.sum(off)).first()
+        if got[0] is None:
+            return
+        # no lead counts as a toss-up: a right and a wrong row without one
+        even = 1 / (1 + np.exp(-np.clip(theta[1], -30, 30)))
+        hess = np.array([[got[0] + 1e-3, got[1]], [got[1], got[2] + 2 * even * (1 - even) + 1.0]])
+        step = np.linalg.solve(hess, np.array([got[3] + 1e-3 * theta[0], got[4] + 2 * even - 1 + theta[1]]))
+        theta -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    # sums of another order differ in their last digits
+    m.slope, m.offset = float(max(round(theta[0], 6), 1e-3)), float(round(theta[1], 6))
+    # a row for each entropy that occurs: some ten thousand
+    m.limit = float(rows.groupBy("low").agg(F.count(F.lit(1)).alias("n")).agg(F.percentile("low", 0.999, F.col("n"))).first()[0] + 0.5)
+
+
+def fit_all(docs: DataFrame, fit_on: Column, calibrate_on: Column, lang_col: str = "lang", text_col: str = "text") -> Model:
+    """As ``fit`` without a sample: a model of all rows of ``fit_on`` is calibrated on all rows of ``calibrate_on``, and the one that is returned
+    has the counts of both."""
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counted = stored(count_sequences(known.filter(fit_on), lang_col, text_col))
+    more = stored(count_sequences(known.filter(calibrate_on & ~F.coalesce(fit_on, F.lit(False))), lang_col, text_col))
+    m = build_all(stored(counted.unionByName(more).groupBy("lang", "code").agg(F.sum("n").alias("n"))))
+    first = build_all(counted)
+    if first.langs:
+        scored = score(known.filter(calibrate_on).withColumn("truth", F.col(lang_col)), first, ["truth"], text_col, raw_out=True)
+        calibrate_all(first, scored)
+        m.slope, m.offset, m.limit = first.slope, first.offset, first.limit
+    return m
+
+
 def fit(docs: DataFrame, fit_on: Column, calibrate_on: Column, lang_col: str = "lang", text_col: str = "text", order_by: str = "doc_id") -> Model:
     """Count over all rows of ``fit_on``; calibrate on up to CALIBRATION_ROWS ids of ``calibrate_on``, chosen by hash, and count its other rows too."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())

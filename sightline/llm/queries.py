@@ -57,7 +57,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     part = fold(F.col("doc_id"), 5)
-    model = langid.fit(docs, part > 1, part == 1)
+    model = langid.fit_all(docs, part > 1, part == 1)
     out = langid.score(docs, model, ["doc_id"])
     return out.select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 

@@ -143,6 +143,29 @@ def test_rows_that_do_not_calibrate_are_counted(spark, monkeypatch):
     assert len(letters) == 12
 
 
+def test_language_query_calibrates_on_all_rows_and_counts_all(spark, docs, monkeypatch):
+    """Slope, offset and limit are those of one process over every calibration row, and every learning row is counted."""
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 2)
+    used = []
+    score = langid.score
+    monkeypatch.setattr(langid, "score", lambda df, m, *a, **k: used.append(m) or score(df, m, *a, **k))
+    queries.op3(spark, SF)
+    m = used[-1]
+    rows = [r for r in docs.select("doc_id", "lang", "text").collect() if r.lang is not None and r.text is not None]
+    part = [zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows]
+
+    def counts(parts):
+        return {x: np.unique(langid.sequences([r.text for r, p in zip(rows, part) if p in parts and r.lang == x])[0], return_counts=True) for x in m.langs}
+
+    first = langid.build(counts({2, 3, 4}))
+    some = [r for r, p in zip(rows, part) if p == 1]
+    h, sizes = langid.entropies(first, [r.text for r in some])
+    right = np.array([m.langs[b] == r.lang for b, r in zip(h.argmin(axis=1), some)])
+    langid.calibrate(first, h[sizes > 0], sizes[sizes > 0], right[sizes > 0])
+    assert (m.slope, m.offset, m.limit) == pytest.approx((first.slope, first.offset, first.limit), abs=2e-3)
+    assert len(langid.opened(m).keys[langid.ORDER - 1]) == len(np.unique(np.concatenate([c for c, _ in counts({1, 2, 3, 4}).values()])))
+
+
 def test_language_held_out_accuracy(spark, docs):
     rows = queries.op3(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
