@@ -80,7 +80,8 @@ def _(spark, sf):
 
 @register("force_send", f"WITH {SCORED} SELECT det_id, v FROM tagged WHERE forced")
 def _(spark, sf):
-    return scored(spark, sf).where(sampling.forced()).select("det_id", F.col("visibility_score").alias("v"))
+    rows = overlap.with_scores(d.detections(spark, sf), asked=sampling.forcible())
+    return rows.where(sampling.forced()).select("det_id", F.col("visibility_score").alias("v"))
 
 
 @register("every_nth_frame", f"WITH {d.DET} SELECT det_id, frame_no FROM det WHERE frame_no % 3 = 0")

@@ -74,8 +74,8 @@ def union_area(rects: Column) -> Column:
         F.size(rects) == 2, g.area(p) + g.area(q) - g.intersection(p, q)).otherwise(many)
 
 
-def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME, cell: int = CELL) -> DataFrame:
-    """Per box the area that other boxes of its frame cover.
+def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME, cell: int = CELL, asked: Column | None = None) -> DataFrame:
+    """Per box the area that other boxes of its frame cover. Boxes that do not fulfil ``asked`` cover others, but need not have a row.
 
     The union is taken cell by cell and summed, so one list never holds more rectangles than meet the box inside one cell. Cells are counted
     first: crowded ones are cut into small ones, whose boxes are counted on a grid. Boxes equal within a pixel count as the same box.
@@ -83,13 +83,13 @@ def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FR
     cols = [key, *keys, "x1", "y1", "x2", "y2"]
     on = [*keys, "_cx", "_cy"]
 
-    spread = in_cells(boxes.select(*cols), cell)
+    spread = in_cells(boxes.select(*cols, F.coalesce(F.lit(True) if asked is None else asked, F.lit(False)).alias("_asked")), cell)
     full = cut(spread.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select(*on))
     any_full = not full.isEmpty()
     all_cells = spread
     if any_full:
         spread = all_cells.join(full, on, "left_anti")
-    l = spread.select(*on, key, *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
+    l = spread.where("_asked").select(*on, key, *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
     r = spread.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
     a, b = g.box("a_"), g.box("b_")
     rect = F.struct(
@@ -145,20 +145,21 @@ def _on_grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([held.field("key").filter(pa.array(some)), pa.array(parts[some])], ["key", "part"])
 
 
-def with_overlap(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME) -> DataFrame:
-    """Add ``overlap_ratio``: the share of each box that others of its frame cover."""
+def with_overlap(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME, asked: Column | None = None) -> DataFrame:
+    """Add ``overlap_ratio``: the share of each box that others of its frame cover. With ``asked`` only boxes that fulfil it are given."""
     b = g.box()
     ratio = F.when(g.degenerate(b), 0.0).otherwise(F.least(F.coalesce("covered", F.lit(0.0)) / g.area(b), F.lit(1.0)))
-    return boxes.join(covered_area(boxes, key, keys), key, "left").withColumn("overlap_ratio", ratio).drop("covered")
+    given = boxes if asked is None else boxes.where(asked)
+    return given.join(covered_area(boxes, key, keys, asked=asked), key, "left").withColumn("overlap_ratio", ratio).drop("covered")
 
 
-def with_scores(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME) -> DataFrame:
-    """Add overlap, subscores, visibility score and tag of every detection."""
+def with_scores(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME, asked: Column | None = None) -> DataFrame:
+    """Add overlap, subscores, visibility score and tag of every detection, or of those that fulfil ``asked``."""
     b, w, h = g.box(), F.col("frame_w"), F.col("frame_h")
     # a lone box has no overlap, so its score is the same as with the frame count at hand
     scores = g.subscores(b, F.col("confidence"), w, h, F.col("overlap_ratio"), F.lit(2))
     return (
-        with_overlap(boxes, key, keys).withColumn("subscores", scores)
+        with_overlap(boxes, key, keys, asked).withColumn("subscores", scores)
         .withColumn("visibility_score", g.visibility(F.col("subscores")))
         .withColumn("visibility_tag", g.visibility_tag(F.col("visibility_score")))
     )

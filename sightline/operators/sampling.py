@@ -24,6 +24,12 @@ def forced(cfg: Sampling = SAMPLING) -> Column:
                         F.col("subscores.cut_off"), ratio, cfg)
 
 
+def forcible(cfg: Sampling = SAMPLING) -> Column:
+    """What a forced box fulfils whatever covers it, as far as it is cheap to tell."""
+    ratio = g.area_ratio(g.box(), F.col("frame_w"), F.col("frame_h"))
+    return (F.col("confidence") >= cfg.force_confidence) & (ratio >= cfg.force_min_area)
+
+
 def every_nth(frames: DataFrame, n: int, frame: str = "frame_no") -> DataFrame:
     return frames.where(F.col(frame) % n == 0)
 
