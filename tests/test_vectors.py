@@ -224,3 +224,76 @@ def test_norms_are_worked_out_once_a_vector(spark):
 
     plan = spark.createDataFrame([([1.0, 2.0],)], "vec array<double>").select(v.l2_normalise(F.col("vec")))._jdf.queryExecution().optimizedPlan().toString()
     assert "/ sqrt" not in plan.lower()  # the divisor of each element is a value, not an expression
+
+
+def tile(n, m, dim=16, seed=0, same=False):
+    r = np.random.default_rng(seed)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (r.normal(size=(n, dim)), r.normal(size=(m, dim))))
+    b = a if same else b
+    ids = np.arange(n + m)
+    right = ids[:m] if same else ids[n:]
+    return tiles.Tile(ids[:n], ids[:n] // 2, a, right, right // 2, b, same, 0, 0 if same else 1, a.astype(np.float32), b.astype(np.float32))
+
+
+def test_single_precision_leaves_scores_exact():
+    """A floor that is one of the scores: rounding may not lose it, nor take in the one below."""
+    for same in (False, True):
+        t = tile(90, 90, seed=3, same=same)
+        s = t.left @ t.right.T
+        floor = np.sort(s[np.triu_indices(90, 1)])[-200]
+        i, j, scores = t.reaching(floor - 1e-13)
+        want = {(a, b) for a, b in zip(*np.nonzero(s >= floor - 1e-13)) if not same or a < b}
+        assert set(zip(i.tolist(), j.tolist())) == want and scores == pytest.approx(s[i, j], abs=1e-13)
+    mask = np.random.default_rng(1).random((37, 11)) < 0.05
+    assert all((x == y).all() for x, y in zip(tiles.where(mask), np.nonzero(mask)))
+
+
+def test_few_scores_are_looked_at_one_by_one(monkeypatch):
+    """With a low floor one score in three is a hit; a row wants its three nearest tags only."""
+    looked, scores = [], tiles.Tile.scores
+    monkeypatch.setattr(tiles.Tile, "scores", lambda self, i, j: looked.append(len(i)) or scores(self, i, j))
+    t = tile(1500, 1500, seed=5)
+    rows, columns = tiles.Nearest(t.left_tags, 3, 0.1), tiles.Nearest(t.right_tags, 3, 0.1)
+    tiles.meet(t, rows, columns, True)
+    s = np.round(t.left @ t.right.T, tiles.DIGITS)
+    assert 0 < sum(looked) < (s >= 0.1).sum() / 20
+    for side, own, other, table in ((rows, t.left_tags, t.right_tags, s), (columns, t.right_tags, t.left_tags, s.T)):
+        got = side.rows(["a", "b", "s"]).groupby("a")
+        for k in range(0, 1500, 211):
+            best = {}
+            for x, tag in sorted(zip(table[k], other), reverse=True):
+                best.setdefault(int(tag), x)
+            mine = [(x, tag) for r, x, tag in zip(side.row, side.score, side.tag) if r == k]
+            assert mine == [(pytest.approx(x, abs=1e-11), tag) for tag, x in sorted(best.items(), key=lambda p: -p[1])[:3]]
+        assert len(got) == len(set(own))
+
+
+def test_rows_of_a_label_meet_without_the_rest(spark):
+    df, _ = points(spark, 1200, groups=300)
+    items = df.withColumnRenamed("tag", "label")
+
+    def kernel(met):
+        yield pd.DataFrame({"tiles": [sum(1 for _ in met)]})
+
+    assert sum(r.tiles for r in tiles.compare(items, None, kernel, "tiles long", tag_col="label", block=40, within=True).collect()) < 150  # of 465
+
+
+def test_distribution_and_separation_of_labels(spark):
+    df, u = points(spark, 150, groups=9)
+    label = np.where(np.arange(150) % 9 == 8, 0, np.arange(150) % 9).astype(float)
+    label[7::40] = np.nan
+    items = df.selectExpr("id", "CASE WHEN id % 40 = 7 THEN NULL WHEN tag = 8 THEN 0 ELSE tag END AS label", "vec")
+    s = u @ u.T
+    i, j = np.triu_indices(150, 1)
+    same = label[i] == label[j]
+    got = {r.same: r for r in evaluate.score_distribution(items, block=17).collect()}
+    for k in (True, False):
+        v = np.round(s[i, j][same == k], evaluate.DIGITS)
+        assert got[k].pairs == len(v) and got[k]["max"] == pytest.approx(v.max())
+        assert [got[k][f"p{int(p * 100):02d}"] for p in (.05, .5, .99)] == pytest.approx(np.quantile(v, [.05, .5, .99]).tolist())
+    for r in evaluate.per_label(items, block=17).collect():
+        mine = np.flatnonzero(label == r.label)
+        inside = np.round([s[a, b] for a in mine for b in mine if a < b], evaluate.DIGITS)
+        near = np.array([s[a][label != r.label].max() for a in mine])
+        assert r["count"] == len(mine) and r.same_p05 == pytest.approx(np.quantile(inside, .05)) and r.same_p50 == pytest.approx(np.quantile(inside, .5))
+        assert r.nearest_negative_mean == pytest.approx(near.mean()) and r.nearest_negative_p95 == pytest.approx(np.quantile(near, .95))
