@@ -98,8 +98,8 @@ SELECT det_id, spatial_key, v AS visibility_score, tag AS visibility_tag, forced
 WHERE forced OR n % (CASE tag WHEN 'good' THEN 2 WHEN 'mid' THEN 3 ELSE 5 END) = 0
 UNION ALL SELECT det_id, spatial_key, v, tag, forced, NULL FROM k WHERE v < 0.15 AND forced""")
 def _(spark, sf):
-    return sampling.stride_sample(scored(spark, sf)).select(
-        "det_id", "spatial_key", "visibility_score", "visibility_tag", "forced", "count_in_key")
+    cols = ["det_id", "spatial_key", "visibility_score", "visibility_tag", "forced"]
+    return sampling.stride_sample(scored(spark, sf), cols=cols).select(*cols, "count_in_key")
 
 
 # detections against track boxes: boxes of class 0 play the tracks ----------------------------

@@ -20,6 +20,8 @@ from ..lineage import cut
 CELL = 512
 #: boxes in a cell from which on it is cut into cells of FINE pixels
 CROWD, FINE = 48, 64
+#: boxes in a frame up to which all of them meet, without cells
+FEW = 24
 FRAME = ("device_id", "frame_no")
 
 
@@ -77,33 +79,26 @@ def union_area(rects: Column) -> Column:
 def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FRAME, cell: int = CELL, asked: Column | None = None) -> DataFrame:
     """Per box the area that other boxes of its frame cover. Boxes that do not fulfil ``asked`` cover others, but need not have a row.
 
-    The union is taken cell by cell and summed, so one list never holds more rectangles than meet the box inside one cell. Cells are counted
+    In a frame of few boxes all meet, so a box is a row once. In larger ones the union is taken cell by cell and summed, so one list never
+    holds more rectangles than meet the box inside one cell. Cells are counted
     first: crowded ones are cut into small ones, whose boxes are counted on a grid. Boxes equal within a pixel count as the same box.
     """
-    cols = [key, *keys, "x1", "y1", "x2", "y2"]
+    corners = ["x1", "y1", "x2", "y2"]
+    placed = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in corners)).select(
+        key, *keys, *corners, F.coalesce(F.lit(True) if asked is None else asked, F.lit(False)).alias("_asked"))
+    large = cut(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys))
+    if large.isEmpty():
+        return _parts(placed, key, list(keys)).groupBy(key).agg(F.sum("part").alias("covered"))
+    few = _parts(placed.join(large, list(keys), "left_anti"), key, list(keys))
     on = [*keys, "_cx", "_cy"]
 
-    spread = in_cells(boxes.select(*cols, F.coalesce(F.lit(True) if asked is None else asked, F.lit(False)).alias("_asked")), cell)
+    spread = in_cells(placed.join(large, list(keys), "left_semi"), cell)
     full = cut(spread.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select(*on))
     any_full = not full.isEmpty()
     all_cells = spread
     if any_full:
         spread = all_cells.join(full, on, "left_anti")
-    l = spread.where("_asked").select(*on, key, *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
-    r = spread.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    a, b = g.box("a_"), g.box("b_")
-    rect = F.struct(
-        F.greatest(a.x1, b.x1, F.col("_cx") * cell).alias("x1"), F.greatest(a.y1, b.y1, F.col("_cy") * cell).alias("y1"),
-        F.least(a.x2, b.x2, (F.col("_cx") + 1) * cell).alias("x2"),
-        F.least(a.y2, b.y2, (F.col("_cy") + 1) * cell).alias("y2"),
-    )
-    pieces = (
-        l.join(r, on).where(~g.same_box(a, b)).withColumn("_rect", rect)
-        .where("_rect.x2 > _rect.x1 AND _rect.y2 > _rect.y1")
-        # the join already placed all rows of a cell together, so this grouping moves nothing
-        .groupBy(*on, key).agg(F.collect_set("_rect").alias("_rects"))
-    )
-    parts = pieces.select(key, union_area(F.col("_rects")).alias("part"))
+    parts = few.unionByName(_parts(spread, key, on, cell))
     if not any_full:
         return parts.groupBy(key).agg(F.sum("part").alias("covered"))
 
@@ -118,6 +113,26 @@ def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FR
     return parts.unionByName(dense).groupBy(key).agg(F.sum("part").alias("covered"))
 
 
+def _parts(rows: DataFrame, key: str, on: list[str], cell: int | None = None) -> DataFrame:
+    """Per box the area that other boxes with the same ``on`` cover, of their cell if there is one."""
+    corners = ("x1", "y1", "x2", "y2")
+    l = rows.where("_asked").select(*on, key, *[F.col(c).cast("double").alias(f"a_{c}") for c in corners])
+    r = rows.select(*on, *[F.col(c).cast("double").alias(f"b_{c}") for c in corners])
+    a, b = g.box("a_"), g.box("b_")
+    low, high = [F.greatest(a.x1, b.x1), F.greatest(a.y1, b.y1)], [F.least(a.x2, b.x2), F.least(a.y2, b.y2)]
+    if cell is not None:
+        low = [F.greatest(v, F.col(c) * cell) for v, c in zip(low, ("_cx", "_cy"))]
+        high = [F.least(v, (F.col(c) + 1) * cell) for v, c in zip(high, ("_cx", "_cy"))]
+    rect = F.struct(low[0].alias("x1"), low[1].alias("y1"), high[0].alias("x2"), high[1].alias("y2"))
+    pieces = (
+        l.join(r, on).where(~g.same_box(a, b)).withColumn("_rect", rect)
+        .where("_rect.x2 > _rect.x1 AND _rect.y2 > _rect.y1")
+        # the join already placed all rows of a cell or frame together, so this grouping moves nothing
+        .groupBy(*on, key).agg(F.collect_set("_rect").alias("_rects"))
+    )
+    return pieces.select(key, union_area(F.col("_rects")).alias("part"))
+
+
 def _on_grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered area of each box of a small cell. The edges of all boxes cut the cell into a grid, on which boxes are counted; what
     more boxes than the same ones cover of a box is summed."""

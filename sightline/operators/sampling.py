@@ -34,14 +34,18 @@ def every_nth(frames: DataFrame, n: int, frame: str = "frame_no") -> DataFrame:
     return frames.where(F.col(frame) % n == 0)
 
 
-def stride_sample(scored: DataFrame, cfg: Sampling = SAMPLING) -> DataFrame:
+def stride_sample(scored: DataFrame, cfg: Sampling = SAMPLING, cols: Sequence[str] | None = None) -> DataFrame:
     """Keep each n-th sighting of a spatial key, n by visibility tag, plus forced rows.
 
     A key unseen for longer than ``stale_frames`` starts counting anew. Rows
-    under the floor neither count nor refresh the key; forced rows do count.
+    under the floor neither count nor refresh the key; forced rows do count. ``cols``: the columns that are wanted, if not all.
     """
     rows = usable(scored, cfg).withColumn("spatial_key", g.spatial_key(g.box(), F.col("frame_w"), F.col("frame_h")))
-    rows = cut(rows.withColumn("forced", forced(cfg)))  # read for the chunk summaries and for the rows; the overlap join runs once
+    rows = rows.withColumn("forced", forced(cfg)).where((F.col("visibility_score") >= cfg.floor) | F.col("forced"))
+    if cols is not None:
+        needed = {*cols, "device_id", "spatial_key", "frame_no", "det_id", "visibility_score", "visibility_tag", "forced"}
+        rows = rows.select(*[c for c in rows.columns if c in needed])
+    rows = cut(rows)  # read for the chunk summaries and for the rows; the overlap join runs once
     keys, order = ["device_id", "spatial_key"], ["frame_no", "det_id"]
     counted = rows.where(F.col("visibility_score") >= cfg.floor)
     placed = ordered.with_sessions(counted, keys, order, cfg.stale_frames, count="count_in_key")

@@ -1,5 +1,6 @@
 """Box scores on hand-made edge cases, and properties of the pair measures."""
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,3 +78,26 @@ def test_a_crowded_frame_equals_pixel_count(spark):
         same = int(((x == x[i]) & (y == y[i]) & (w == w[i]) & (h == h[i])).sum())
         part = image[y[i]:y[i] + h[i], x[i]:x[i] + w[i]] > same
         assert abs(got[str(i)] - part.mean()) < 1e-9
+
+
+def test_boxes_of_a_small_frame_meet_without_cells(spark):
+    """A box of a frame of few is a row once; larger frames and small ones side by side give what a count of pixels gives."""
+    r = np.random.default_rng(4)
+    rows = []
+    for frame, n in ((1, 2), (2, 7), (3, overlap.FEW), (4, overlap.FEW + 1), (5, 70)):
+        for k in range(n):
+            x, y, w, h = (int(v) for v in r.integers([0, 0, 20, 20], [900, 700, 300, 300]))
+            rows.append((f"{frame}-{k}", "d", frame, float(x), float(y), float(x + w), float(y + h)))
+    rows.append(("no corner", "d", 2, 0.0, 0.0, None, 400.0))
+    df = spark.createDataFrame(rows, "det_id string, device_id string, frame_no long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.det_id: r.covered for r in overlap.covered_area(df).collect()}
+    for key, _, frame, *box in rows[:-1]:
+        x1, y1, x2, y2 = map(int, box)
+        seen = np.zeros((x2 - x1, y2 - y1), bool)
+        for k, _, f, *other in rows[:-1]:
+            if f == frame and k != key:
+                a, b, c, d = (int(v) for v in other)
+                seen[max(a - x1, 0):max(c - x1, 0), max(b - y1, 0):max(d - y1, 0)] = True
+        assert got.get(key, 0.0) == seen.sum(), key
+    small = overlap.covered_area(df.where("frame_no <= 3"))
+    assert "Generate" not in small._jdf.queryExecution().optimizedPlan().toString() and "no corner" not in got
