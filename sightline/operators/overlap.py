@@ -84,9 +84,11 @@ def covered_area(boxes: DataFrame, key: str = "det_id", keys: Sequence[str] = FR
     first: crowded ones are cut into small ones, whose boxes are counted on a grid. Boxes equal within a pixel count as the same box.
     """
     corners = ["x1", "y1", "x2", "y2"]
-    placed = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in corners)).select(
+    placed = boxes.where("x1 IS NOT NULL AND y1 IS NOT NULL").select(
         key, *keys, *corners, F.coalesce(F.lit(True) if asked is None else asked, F.lit(False)).alias("_asked"))
-    large = cut(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys))
+    # a box without an end is in its first cell only
+    frames = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.expr("x2 IS NULL OR y2 IS NULL")).alias("_endless"))
+    large = cut(frames.where((F.col("_n") > FEW) | (F.col("_endless") > 0)).select(*keys))
     if large.isEmpty():
         return _parts(placed, key, list(keys)).groupBy(key).agg(F.sum("part").alias("covered"))
     few = _parts(placed.join(large, list(keys), "left_anti"), key, list(keys))

@@ -88,13 +88,16 @@ def test_boxes_of_a_small_frame_meet_without_cells(spark):
         for k in range(n):
             x, y, w, h = (int(v) for v in r.integers([0, 0, 20, 20], [900, 700, 300, 300]))
             rows.append((f"{frame}-{k}", "d", frame, float(x), float(y), float(x + w), float(y + h)))
-    rows.append(("no corner", "d", 2, 0.0, 0.0, None, 400.0))
+    rows.append(("no corner", "d", 2, None, 0.0, 900.0, 400.0))
+    rows += [("endless", "d", 9, 100.0, 0.0, None, 400.0), ("met", "d", 9, 400.0, 0.0, 600.0, 100.0)]
     df = spark.createDataFrame(rows, "det_id string, device_id string, frame_no long, x1 double, y1 double, x2 double, y2 double")
     got = {r.det_id: r.covered for r in overlap.covered_area(df).collect()}
-    for key, _, frame, *box in rows[:-1]:
+    assert got.pop("met") == (512 - 400) * 100.0 and got.pop("endless") == (512 - 400) * 100.0
+    rows = rows[:-3]
+    for key, _, frame, *box in rows:
         x1, y1, x2, y2 = map(int, box)
         seen = np.zeros((x2 - x1, y2 - y1), bool)
-        for k, _, f, *other in rows[:-1]:
+        for k, _, f, *other in rows:
             if f == frame and k != key:
                 a, b, c, d = (int(v) for v in other)
                 seen[max(a - x1, 0):max(c - x1, 0), max(b - y1, 0):max(d - y1, 0)] = True
